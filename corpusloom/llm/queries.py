@@ -6,15 +6,54 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import langid
+from corpusloom.llm import langid, minhash, pii
 from corpusloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: The word class of textkit.WORD_RE in RE2 syntax.
+_WORDS = r"regexp_extract_all(lower(text), '[^\x00-/:-@\[-\^`{-\x7f]+')"
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+@query
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = minhash.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "group_id", "group_size", "keep")
 
-def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
 
+ORACLES["op1_minhash"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(ws) >= {minhash.N} THEN list_transform(range(1, len(ws) - {minhash.N - 2}),
+      lambda i: array_to_string(ws[i:i + {minhash.N - 1}], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE c / CAST(x.n + y.n - c AS DOUBLE) >= {minhash.THRESHOLD}),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, t.b FROM reach r JOIN both_ways t ON r.b = t.a),
+m AS (SELECT a AS doc_id, min(b) AS group_id FROM reach GROUP BY 1)
+SELECT doc_id, group_id, count(*) OVER (PARTITION BY group_id) AS group_size, doc_id = group_id AS keep FROM m
+"""
 
-QUERIES["op9_langid"] = op9_langid
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
