@@ -1,0 +1,267 @@
+"""Row-local features of source files: symbols, imports, secrets, chunks, line statistics.
+
+Everything that needs the text is computed in one pass over the scan, so that
+later joins move only narrow rows.  Python files go through ``ast`` in an
+Arrow UDF; everything else is Catalyst expressions.
+"""
+
+from __future__ import annotations
+
+import ast
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+
+from corpusloom.functions import rules, text as X
+
+SYMBOL_CAP = 20
+CHUNK_TOKENS = 800
+_PY_FUNC = re.compile(r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)\s*\(", re.M)
+_PY_CLASS = re.compile(r"^\s*class\s+([A-Za-z_]\w*)\b", re.M)
+_NAME = r"([A-Za-z_$][\w$]*)"
+JS_IMPORT = "import\\s+(?:type\\s+)?(?:[^'\"]+?from\\s+)?['\"]([^'\"]+)['\"]"
+JS_REQUIRE = "require\\(\\s*['\"]([^'\"]+)['\"]\\s*\\)"
+JS_DYNAMIC = "import\\s*\\(\\s*['\"]([^'\"]+)['\"]\\s*\\)"
+JS_FUNCTION = r"(?:export\s+)?(?:async\s+)?function\s+(\*?\s*[A-Za-z_$][\w$]*)\s*\("
+JS_CLASS = rf"(?:export\s+)?class\s+{_NAME}"
+JS_CONST = rf"(?:export\s+)?(?:const|let|var)\s+{_NAME}\s*="
+JS_NAMED = r"export\s+\{([^}]+)\}"
+JS_DEFAULT = rf"export\s+default\s+{_NAME}"
+
+PY_SCHEMA = pa.struct(
+    [
+        ("parsed", pa.bool_()),
+        ("functions", pa.list_(pa.string())),
+        ("classes", pa.list_(pa.string())),
+        ("specs", pa.list_(pa.string())),
+        ("bases", pa.list_(pa.string())),
+        ("module_doc", pa.string()),
+        ("docstrings", pa.map_(pa.string(), pa.string())),
+        ("type_hints", pa.map_(pa.string(), pa.map_(pa.string(), pa.string()))),
+    ]
+)
+PY_DDL = (
+    "struct<parsed:boolean,functions:array<string>,classes:array<string>,specs:array<string>,bases:array<string>,"
+    "module_doc:string,docstrings:map<string,string>,type_hints:map<string,map<string,string>>>"
+)
+
+
+def _first_line(doc: str) -> str:
+    return doc.strip().split("\n")[0]
+
+
+def parse_python(src: str) -> dict:
+    """Symbols and imports of one Python source; names only if it does not parse."""
+    out: dict = {"parsed": True, "specs": [], "bases": [], "module_doc": None, "docstrings": {}, "type_hints": {}}
+    try:
+        tree = ast.parse(src)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return out | {
+            "parsed": False,
+            "functions": _PY_FUNC.findall(src),
+            "classes": _PY_CLASS.findall(src),
+            "docstrings": [],
+            "type_hints": [],
+        }
+    functions, classes = {}, {}
+    doc = ast.get_docstring(tree)
+    out["module_doc"] = doc.strip() if doc else None
+    for node in ast.walk(tree):
+        match node:
+            case ast.Import():
+                for a in node.names:
+                    out["specs"].append(a.name)
+                    out["bases"].append(a.name.split(".")[0])
+            case ast.ImportFrom():
+                module = node.module or ""
+                out["specs"].append("." * node.level + module)
+                out["bases"].append(module.split(".")[0])
+            case ast.FunctionDef() | ast.AsyncFunctionDef():
+                functions[node.name] = None
+                hints = {a.arg: ast.unparse(a.annotation) for a in node.args.args if a.annotation}
+                if node.returns:
+                    hints["return"] = ast.unparse(node.returns)
+                if hints:
+                    out["type_hints"][node.name] = list(hints.items())
+            case ast.ClassDef():
+                classes[node.name] = None
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and (d := ast.get_docstring(node)):
+            out["docstrings"][node.name] = _first_line(d)
+    out |= {"functions": list(functions)[:SYMBOL_CAP], "classes": list(classes)[:SYMBOL_CAP]}
+    return out | {k: list(out[k].items()) for k in ("docstrings", "type_hints")}
+
+
+def _python(files: DataFrame) -> DataFrame:
+    """``files`` (path, src) with the struct ``py``, null for other languages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [
+                parse_python(s) if p is not None and p.lower().endswith(".py") else None
+                for p, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist())
+            ]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, PY_SCHEMA)], names=["path", "src", "py"])
+
+    return files.mapInArrow(run, f"path string, src string, py {PY_DDL}")
+
+
+def _all(pattern: str) -> Column:
+    return F.regexp_extract_all("src", F.lit(pattern), 1)
+
+
+def _capped(names: Column) -> Column:
+    return F.slice(F.array_distinct(names), 1, SYMBOL_CAP)
+
+
+def _jsdoc() -> Column:
+    """First line of a leading doc comment that is no tag."""
+    inner = F.regexp_extract("src", r"(?s)^/\*\*.*?\*/", 0)
+    ls = F.transform(F.split(inner, "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), r"^\*+", "")))
+    ok = F.filter(ls, lambda x: (x != "") & ~x.startswith("@") & ~x.isin("/**", "*/", "/"))
+    return F.when(F.size(ok) > 0, F.element_at(ok, 1))
+
+
+def secrets_of(src: Column, path: Column) -> Column:
+    """``array<struct<line, rank, label>>``: each label once, at its first line, in order of line and rule."""
+    numbered = F.transform(X.lines(src), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
+    live = F.filter(
+        numbered, lambda x: ~x["text"].rlike(r"^\s*(?:#|//|\*|<!--)")
+    )
+    found = [
+        F.when(
+            src.rlike(p),  # most files hold no secret: one test of the whole text saves the lines
+            F.element_at(F.filter(live, lambda x, p=p: x["text"].rlike(p)), 1)["line"],
+        )
+        for _, p in rules.SECRETS
+    ]
+    entries = F.array(
+        *[
+            F.struct(line.alias("line"), F.lit(i).alias("rank"), F.lit(label).alias("label"))
+            for i, ((label, _), line) in enumerate(zip(rules.SECRETS, found))
+        ]
+    )
+    skip = F.lower(X.suffix(path)).isin(rules.SECRET_SKIP_SUFFIXES) | X.name(path).isin(rules.SECRET_SKIP_NAMES)
+    hits = F.array_sort(F.filter(entries, lambda x: x["line"].isNotNull()))
+    return F.when(skip, F.slice(hits, 1, 0)).otherwise(hits)
+
+
+def secret_warning(x: Column) -> Column:
+    return F.concat(F.lit("Possible secret detected: "), x["label"], F.lit(" (line "), x["line"].cast("string"), F.lit(")"))
+
+
+def nesting(ls: Column) -> Column:
+    """Deepest indent of four blanks among lines that are neither blank nor comments."""
+    code = F.filter(ls, lambda x: ~x.rlike(r"^ *(?:$|#|//|/?\*)"))
+    depth = F.transform(code, lambda x: F.floor((F.length(x) - F.length(F.regexp_replace(x, "^ +", ""))) / 4))
+    return F.coalesce(F.array_max(depth), F.lit(0)).cast("int")
+
+
+def features(files: DataFrame, security: bool = True) -> DataFrame:
+    """One narrow row for each file (``path, src``); see the column list below."""
+    sfx = F.lower(X.suffix("path"))
+    js = sfx.isin(rules.JS_SUFFIXES)
+    none = F.array().cast("array<string>")
+    low = F.lower("src")
+    named = F.flatten(F.transform(_all(JS_NAMED), lambda g: F.split(g, ",")))
+    exports = F.concat(
+        F.transform(F.filter(named, lambda x: F.trim(x) != ""), lambda x: F.trim(F.split(F.trim(x), " as ")[0])),
+        _all(JS_DEFAULT),
+    )
+    functions = F.concat(F.transform(_all(JS_FUNCTION), lambda x: F.trim(F.replace(x, F.lit("*"), F.lit("")))), _all(JS_CONST))
+    js_specs = F.concat(_all(JS_IMPORT), _all(JS_REQUIRE), _all(JS_DYNAMIC))
+    py = F.col("py")
+    content = F.filter(
+        F.array(*[F.when(low.contains(k), F.lit(d)) for k, d in rules.DOMAIN_KEYWORDS]), lambda x: x.isNotNull()
+    )
+    probes = F.filter(F.array(*[F.when(low.rlike(p), F.lit(d)) for d, p in rules.PROBES]), lambda x: x.isNotNull())
+    ls = X.lines("src")
+    base = _python(files.select("path", F.coalesce("src", F.lit("")).alias("src"))).withColumn("ls", ls)
+    return base.select(
+        "path",
+        F.size("ls").alias("lines"),
+        F.when(js, _capped(functions)).otherwise(F.coalesce(py["functions"], none)).alias("functions"),
+        F.when(js, _capped(_all(JS_CLASS))).otherwise(F.coalesce(py["classes"], none)).alias("classes"),
+        F.when(js, _capped(exports)).otherwise(none).alias("exports"),
+        F.when(js, js_specs).otherwise(F.coalesce(py["specs"], none)).alias("specs"),
+        F.when(js, F.transform(js_specs, lambda x: F.split(x, "/")[0]))
+        .otherwise(F.coalesce(py["bases"], none))
+        .alias("bases"),
+        F.when(js, _jsdoc()).otherwise(py["module_doc"]).alias("module_doc"),
+        py["docstrings"].alias("docstrings"),
+        py["type_hints"].alias("type_hints"),
+        content.alias("content_domains"),
+        probes.alias("probes"),
+        ((sfx == ".py") & F.col("src").rlike(r"if\s+__name__\s*==\s*['\"]__main__['\"]")).alias("main_guard"),
+        (js & F.col("src").rlike(r"\.listen\s*\(")).alias("listens"),
+        F.regexp_count("src", F.lit(r"\b(if|elif|for|while|case|switch|catch|except)\b")).alias("branches"),
+        F.regexp_count("src", F.lit(r"&&|\|\|")).alias("logical_ops"),
+        nesting(F.col("ls")).alias("nesting"),
+        F.size(F.filter("ls", lambda x: F.length(x) > 120)).alias("long_lines"),
+        (secrets_of(F.col("src"), F.col("path")) if security else F.slice(secrets_of(F.col("src"), F.col("path")), 1, 0)).alias("secrets"),
+    )
+
+
+def chunk_plan(files: DataFrame, budget: int = CHUNK_TOKENS) -> DataFrame:
+    """``path, chunk, first_line, n_lines, tokens``: lines packed greedily to a token budget.
+
+    A token is four characters, rounded down, line by line.
+    """
+    cost = F.transform(X.lines("src"), lambda x: F.floor(F.length(x) / 4).cast("int"))
+    start = F.expr("named_struct('done', cast(array() as array<struct<first:int,n:int,tokens:int>>), 'first', 1, 'n', 0, 'tokens', 0)")
+
+    def step(acc: Column, t: Column) -> Column:
+        full = (acc["tokens"] + t > budget) & (acc["n"] > 0)
+        done = F.array_append(
+            acc["done"], F.struct(acc["first"].alias("first"), acc["n"].alias("n"), acc["tokens"].alias("tokens"))
+        )
+        return F.struct(
+            F.when(full, done).otherwise(acc["done"]).alias("done"),
+            F.when(full, acc["first"] + acc["n"]).otherwise(acc["first"]).alias("first"),
+            F.when(full, F.lit(1)).otherwise(acc["n"] + 1).alias("n"),
+            F.when(full, t).otherwise(acc["tokens"] + t).alias("tokens"),
+        )
+
+    def finish(acc: Column) -> Column:
+        last = F.struct(acc["first"].alias("first"), acc["n"].alias("n"), acc["tokens"].alias("tokens"))
+        return F.when(acc["n"] > 0, F.array_append(acc["done"], last)).otherwise(acc["done"])
+
+    planned = files.select("path", F.aggregate(cost, start, step, finish).alias("c"))
+    return planned.select("path", F.posexplode("c").alias("chunk", "x")).select(
+        "path", "chunk", F.col("x.first").alias("first_line"), F.col("x.n").alias("n_lines"), F.col("x.tokens").alias("tokens")
+    )
+
+
+def ast_chunks(files: DataFrame, budget: int = CHUNK_TOKENS) -> DataFrame:
+    """``path, chunk, text`` of Python files, packed by top-level node; lines where it does not parse."""
+
+    def pack(pieces: list[str]) -> list[str]:
+        out: list[list[str]] = [[]]
+        tokens = 0
+        for p in pieces:
+            k = len(p) // 4
+            if tokens + k > budget and out[-1]:
+                out.append([])
+                tokens = 0
+            out[-1].append(p)
+            tokens += k
+        return ["\n".join(x) for x in out if x]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for p, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    parts = [ast.unparse(n) for n in ast.iter_child_nodes(ast.parse(s))]
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                    parts = s.splitlines()
+                rows += [(p, i, c) for i, c in enumerate(pack(parts))]
+            cols = list(zip(*rows)) if rows else [(), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string()))],
+                names=["path", "chunk", "text"],
+            )
+
+    py = files.where(F.lower("path").endswith(".py")).select("path", F.coalesce("src", F.lit("")).alias("src"))
+    return py.mapInArrow(run, "path string, chunk int, text string")
