@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: RE2/Java class of one word, for the SQL forms of the operators.
 WORD_RE = r"[^\x00-/:-@\[-\^`{-\x7f]+"
@@ -124,7 +125,27 @@ def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def pieces(texts: list[str | None], most: int = 4_000_000) -> Iterator[slice]:
+def slices(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut, without copying, to about ``most`` bytes of the named string column.
+
+    Spark bounds its batches by rows; this bounds what Python objects and
+    temporaries a worker holds at once, whatever the texts' lengths.
+    """
+    for b in batches:
+        if b.num_rows < 2:
+            yield b
+            continue
+        size = np.asarray(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(name))), 0), dtype=np.int64)
+        total = np.cumsum(size)
+        begin = 0
+        while begin < b.num_rows:
+            before = int(total[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(total, before + most, side="right")))
+            yield b.slice(begin, end - begin)
+            begin = end
+
+
+def pieces(texts: list[str | None], most: int = 1_000_000) -> Iterator[slice]:
     """Slices of a batch of about ``most`` characters, to bound working memory."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
