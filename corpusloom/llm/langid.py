@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.textkit import column, pieces
+from corpusloom.llm.textkit import column, pieces, slices
 
 BLOCK = 512
 #: Bounds of the labelled sample: documents and characters a language.
@@ -228,7 +228,7 @@ def identify(docs: DataFrame, samples: dict[str, str] | None = None, max_bits: f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        for b in batches:
+        for b in slices(batches):
             texts = column(b, "text")
             cols: dict[str, list] = {}
             for s in pieces(texts):
@@ -261,7 +261,7 @@ def keep_identified(docs: DataFrame, samples: dict[str, str] | None = None, max_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        for b in batches:
+        for b in slices(batches):
             texts = column(b, "text")
             lang: list = []
             ok: list = []

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm import nearsets
-from corpusloom.llm.textkit import as_long, column, mix64, pieces, shingle_hashes
+from corpusloom.llm.textkit import as_long, column, mix64, pieces, shingle_hashes, slices
 from corpusloom.session import cut
 
 N, K = 3, 64
@@ -59,7 +59,7 @@ def signatures(docs: DataFrame, n: int = N, k: int = K) -> DataFrame:
     """``doc_id, tkey, node, n, vals`` of every row; ``vals`` is the sketch, ascending."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = column(b, "text")
             if not texts:
                 continue
@@ -116,7 +116,7 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, k: int, least: float) -> D
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, "tb"):
             ta, tb = column(b, "ta"), column(b, "tb")
             ids = column(b, "a")
             ok, at, hub = [], None, None

@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.llm import sharding
 from corpusloom.llm.ranks import running_total
-from corpusloom.llm.textkit import column
+from corpusloom.llm.textkit import column, slices
 from corpusloom.llm.tokens import count_tokens, cuts
 from corpusloom.session import cut
 
@@ -126,7 +126,7 @@ def block_parts(placed: DataFrame, numbers: dict, block_tokens: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (*(pa.int64(),) * 4, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
         names = ["s", "block", "place", "doc_id", "lang", "source", "first_token", "n_tokens", "text"]
-        for b in batches:
+        for b in slices(batches):
             rows: list[tuple] = []
             for i, t, lang, src, n, begin in zip(
                 *(column(b, c) for c in ("doc_id", "text", "lang", "source", "n", "begin"))

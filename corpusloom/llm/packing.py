@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.ranks import running_total
-from corpusloom.llm.textkit import column
+from corpusloom.llm.textkit import column, slices
 from corpusloom.llm.tokens import count_tokens, cuts
 
 PACK_TOKENS = 2048
@@ -90,7 +90,7 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id, first_token, n_tokens, text`` of every chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, texts, n = (column(b, c) for c in ("doc_id", "text", "n"))
             rows: list[tuple] = []
             for i, t, k in zip(ids, texts, n):

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.textkit import column, pieces, word_hashes
+from corpusloom.llm.textkit import column, pieces, slices, word_hashes
 
 KINDS = ("email", "secret", "iban", "ip", "card", "phone", "ssn")
 SCHEMA = "doc_id long, kind string, begin int, end int, surface string, normal string"
@@ -318,7 +318,7 @@ def find(docs: DataFrame) -> DataFrame:
     """``doc_id, kind, begin, end, surface, normal`` of every finding."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids = column(batch, "doc_id")
             rows: list[tuple] = []
             texts = column(batch, "text")
@@ -339,7 +339,7 @@ def redact(docs: DataFrame) -> DataFrame:
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = column(batch, "text")
             new = [redacted(t, found) for t, found in zip(texts, detect(texts))]
             at = columns.index("text")

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from corpusloom.llm.textkit import _POW, _IS_WORD, column, mix64, pieces
+from corpusloom.llm.textkit import _POW, _IS_WORD, column, mix64, pieces, slices
 from corpusloom.llm.toxicity import labelled
 
 WORD_TERMS = 4000
@@ -93,7 +93,7 @@ class Model:
         """Similarity-weighted share of good neighbours, and which texts have one."""
         out, has = np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
         k = min(NEIGHBOURS, len(self.labels))
-        for part in pieces(texts, 2_000_000):
+        for part in pieces(texts):
             for a in range(part.start, part.stop, 512):
                 block = slice(a, min(a + 512, part.stop))
                 v, ok = self.project(term_counts(texts[block]))
@@ -136,7 +136,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             s, ok = shared.value.vote(column(b, "text"))
             yield pa.RecordBatch.from_arrays(
                 [

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm import nearsets
 from corpusloom.llm.minhash import exact_jaccard, node_of
-from corpusloom.llm.textkit import as_long, column, mix64, pieces, word_hashes
+from corpusloom.llm.textkit import as_long, column, mix64, pieces, slices, word_hashes
 from corpusloom.session import cut
 
 ANCHORS = (
@@ -71,7 +71,7 @@ def signatures(docs: DataFrame, chain: int, distance: int) -> DataFrame:
     """``doc_id, tkey, node, vals`` of every row; ``node`` identifies the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = spot_sets(column(b, "text"), chain, distance)
             if not sets:
                 continue

@@ -129,13 +129,12 @@ def secrets_of(src: Column, path: Column) -> Column:
     live = F.filter(
         numbered, lambda x: ~x["text"].rlike(r"^\s*(?:#|//|\*|<!--)")
     )
-    found = [
-        F.when(
-            src.rlike(p),  # most files hold no secret: one test of the whole text saves the lines
-            F.element_at(F.filter(live, lambda x, p=p: x["text"].rlike(p)), 1)["line"],
-        )
-        for _, p in rules.SECRETS
-    ]
+
+    def first_line(p: str) -> Column:
+        # most files hold no secret: one test of the whole text saves the lines
+        return F.when(src.rlike(p), F.get(F.filter(live, lambda x: x["text"].rlike(p)), F.lit(0))["line"])
+
+    found = [first_line(p) for _, p in rules.SECRETS]
     entries = F.array(
         *[
             F.struct(line.alias("line"), F.lit(i).alias("rank"), F.lit(label).alias("label"))

@@ -208,7 +208,7 @@ def token_counts(spark, sf_dir):
     return corpus(spark, sf_dir).select("path", F.expr("length(src) div 4").alias("tokens"), F.size(X.lines("src")).alias("lines"))
 
 
-@query(Q(f"""SELECT path, chunk, min(i) AS first_line, count(*) AS n_lines, sum(t) AS tokens FROM walk WHERE chunk >= 0 GROUP BY path, chunk""".replace("FROM walk", f"""FROM (
+@query(Q(f"""SELECT path, chunk, min(i) AS first_line, count(*) AS n_lines, CAST(sum(t) AS BIGINT) AS tokens FROM walk WHERE chunk >= 0 GROUP BY path, chunk""".replace("FROM walk", f"""FROM (
   WITH RECURSIVE ln AS (SELECT path, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM p WHERE src <> ''), tk AS (SELECT path, i, length(x) // 4 AS t FROM ln),
   walk AS (SELECT path, i, t, 0 AS chunk, t AS acc FROM tk WHERE i = 1 UNION ALL
     SELECT k.path, k.i, k.t, CASE WHEN w.acc + k.t > {extract.CHUNK_TOKENS} THEN w.chunk + 1 ELSE w.chunk END, CASE WHEN w.acc + k.t > {extract.CHUNK_TOKENS} THEN k.t ELSE w.acc + k.t END
