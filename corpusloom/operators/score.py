@@ -162,3 +162,10 @@ def top_signals(k: int = 3) -> Column:
     return F.array_join(
         F.transform(F.slice(F.array_sort(entries), 1, k), lambda e: F.format_string("%s:%.1f", e["key"], e["value"])), ", "
     )
+
+
+def top_map(m: str | Column, k: int) -> Column:
+    """The ``k`` largest entries of a map by value; equal values keep their order."""
+    from corpusloom.operators.classify import top_entries
+
+    return F.map_from_entries(top_entries(F.map_entries(m), "key", "value", k))

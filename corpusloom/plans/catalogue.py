@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.api import filtered, search
 from corpusloom.functions import rules, text as X
 from corpusloom.operators import classify, extract, graph, resolve, score
 from corpusloom.plans import analysis, oracle
@@ -182,12 +183,6 @@ def symbols_js(spark, sf_dir):
     return _symbols(spark, sf_dir, rules.JS_SUFFIXES)
 
 
-def search(files: DataFrame, needle: str) -> DataFrame:
-    """``path, symbols``: files with a symbol that contains ``needle``, at most ten symbols each."""
-    hits = F.filter(F.concat("functions", "classes", "exports"), lambda s: F.lower(s).contains(needle.lower()))
-    return files.select("path", F.slice(hits, 1, 10).alias("symbols")).where(F.size("symbols") > 0)
-
-
 @query(Q("SELECT path, array_to_string(list_filter(list_concat(functions, classes, exports), lambda s: contains(lower(s), 'order'))[1:10], '|') AS symbols FROM feat WHERE len(list_filter(list_concat(functions, classes, exports), lambda s: contains(lower(s), 'order'))) > 0", "feat"))
 def symbol_search(spark, sf_dir):
     return search(records(spark, sf_dir), "Order").select("path", joined("symbols").alias("symbols"))
@@ -368,15 +363,6 @@ def top(files: DataFrame, n: int = 10, offset: int = 0, domain=None, criticality
     return filtered(files, domain, criticality, layer, warnings_only, glob).orderBy(F.desc("priority_score"), "path").offset(offset).limit(n)
 
 
-def filtered(files, domain=None, criticality=None, layer=None, warnings_only=False, glob=None):
-    for c, v in (("domain", domain), ("criticality", criticality), ("layer", layer)):
-        if v:
-            files = files.where(F.col(c) == v)
-    if warnings_only:
-        files = files.where(F.size("warnings") > 0)
-    return files.where(X.any_glob(F.col("path"), [glob])) if glob else files
-
-
 def _hot_sql(where: str = "true", n: int = 10, offset: int = 0) -> str:
     return Q(f"SELECT {', '.join(_HOT)} FROM final WHERE {where} ORDER BY priority_score DESC, path LIMIT {n} OFFSET {offset}")
 

@@ -54,7 +54,7 @@ CTES: dict[str, str] = {
       regexp_replace(string_split(path, '/')[-1], '^(.+)\\.[^.]+$', '\\1') AS stem,
       regexp_extract(string_split(path, '/')[-1], '^.+(\\.[^.]+)$', 1) AS sfx,
       string_split(CASE WHEN suffix(src, chr(10)) THEN left(src, length(src) - 1) ELSE src END, chr(10)) AS ls FROM corpus""",
-    "feat": f"""SELECT path, src, parts, name, dirs, stem, sfx, ls,
+    "raw_feat": f"""SELECT path, src, parts, name, dirs, stem, sfx, ls,
       CASE WHEN sfx = '.py' THEN list_concat(regexp_extract_all(src, '(?m)^(?:async )?def (\\w+)\\(', 1), regexp_extract_all(src, '(?m)^ +(?:async )?def (\\w+)\\(', 1))
         WHEN list_contains({JS}, sfx) THEN list_concat(regexp_extract_all(src, '(?:export\\s+)?(?:async\\s+)?function\\s+([A-Za-z_$][\\w$]*)\\s*\\(', 1),
           regexp_extract_all(src, '(?:export\\s+)?(?:const|let|var)\\s+([A-Za-z_$][\\w$]*)\\s*=', 1)) ELSE [] END AS functions,
@@ -65,6 +65,9 @@ CTES: dict[str, str] = {
       CASE WHEN sfx = '.py' THEN regexp_extract_all(src, '(?m)^(?:import|from) ([\\w.]+)', 1)
         WHEN list_contains({JS}, sfx) THEN list_concat(regexp_extract_all(src, 'import\\s+(?:[^''"]+?from\\s+)?[''"]([^''"]+)[''"]', 1),
           regexp_extract_all(src, 'require\\(\\s*[''"]([^''"]+)[''"]\\s*\\)', 1)) ELSE [] END AS specs FROM p""",
+    "feat": "SELECT * REPLACE ("
+    + ", ".join(f"list_filter({c}, lambda x, i: list_position({c}, x) = i)[1:20] AS {c}" for c in ("functions", "classes", "exports"))
+    + ") FROM raw_feat",
     "secrets": f"""SELECT path, label, rank, min(line) AS line FROM (
         SELECT path, unnest(ls) AS t, generate_subscripts(ls, 1) AS line FROM p
         WHERE NOT list_contains({strings(rules.SECRET_SKIP_SUFFIXES)}, lower(sfx)) AND NOT list_contains({strings(rules.SECRET_SKIP_NAMES)}, name)) x
@@ -104,7 +107,7 @@ CTES: dict[str, str] = {
         UNION ALL SELECT path, unnest(tk), generate_subscripts(tk, 1), 1.5, 4 FROM (SELECT path, flatten(list_transform(list_concat(functions, classes, exports), lambda x: {toks('x')})) AS tk FROM rec)) x
       JOIN {values(list(_first.items()), 'k, d')} m USING (k)
       UNION ALL SELECT path, d, 1.0, 2, i FROM rec JOIN {values(ranked(rules.DOMAIN_KEYWORDS), 'i, k, d')} m ON contains(lower(src), k)""",
-    "evidence": "SELECT path, domain, sum(points) AS score, min(stream * 100000 + pos) AS first_seen FROM points GROUP BY path, domain",
+    "evidence": "SELECT path, domain, CAST(sum(points) AS DOUBLE) AS score, min(stream * 100000 + pos) AS first_seen FROM points GROUP BY path, domain",
     "pick": """SELECT path, coalesce(arg_min(domain, r) FILTER (r = 1), 'core') AS domain, arg_min(domain, r) FILTER (r = 2) AS secondary_domain,
         CASE WHEN count(domain) = 0 THEN 0.4 ELSE round_even(least(0.95, 0.5 + max(score) / greatest(1.0, sum(score)) * 0.45), 3) END AS domain_confidence
       FROM p LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, first_seen) AS r FROM evidence) e USING (path) GROUP BY path""",
