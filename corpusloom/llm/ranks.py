@@ -1,9 +1,14 @@
-"""Distributed running totals: two window levels instead of one global window.
+"""Distributed running totals, and narrow plans that meet their texts once.
+
+Running totals use two window levels instead of one global window.
 
 Rows are put into ordered buckets of their id, small enough for one task; the
 bucket totals (thousands of times fewer than the rows) are summed by one
 window per group, and each bucket's rows by another.  The order is that of the
 ids, so the result depends neither on file layout nor on partitioning.
+
+Ranks, totals and placements are made on narrow rows, keyed by ``key_columns``;
+``meet`` then joins them with the texts in the only shuffle that moves these.
 """
 
 from __future__ import annotations
@@ -52,3 +57,25 @@ def running_total(
     joined = df.join(base, same)
     total = F.col("rt_base") + F.coalesce(F.sum("rt_value").over(inner), F.lit(0))
     return joined.withColumn(out, total).select(*[c for c in df.columns if not c.startswith("rt_")], out)
+
+
+def key_columns(*carried: str) -> list[Column]:
+    """``kid, tkey``: a null-free key of a row by its id, its text and the ``carried`` columns."""
+    id_ = F.col("doc_id").cast("long")
+    return [
+        F.coalesce(id_, F.lit(-(2**63))).alias("kid"),
+        F.xxhash64(id_.isNull(), F.col("text"), *carried).alias("tkey"),
+    ]
+
+
+def meet(docs: DataFrame, placed: DataFrame, fields: list[str], carried: list[str]) -> DataFrame:
+    """``doc_id, text``, the carried columns and ``items``: all of a key's ``fields`` of ``placed``.
+
+    Rows repeated in full have one key; one of them carries the items of all.
+    """
+    items = placed.groupBy("kid", "tkey").agg(F.collect_list(F.struct(*fields)).alias("items"))
+    texts = docs.select(*key_columns(*carried), F.col("doc_id").cast("long").alias("doc_id"), "text", *carried)
+    first = F.row_number().over(Window.partitionBy("kid", "tkey").orderBy("kid"))
+    # A broadcast would grow with the corpus; the merge join leaves the order that the window needs.
+    both = texts.join(items.hint("merge"), ["kid", "tkey"]).withColumn("copy", first)
+    return both.where("copy = 1").select("doc_id", "text", *carried, "items")
