@@ -110,7 +110,7 @@ class _Xml:
     def __init__(self, out: TextIO):
         self.out = XMLGenerator(out, "utf-8", short_empty_elements=True)
 
-    def tag(self, name: str, body: str | Callable[[], None] | None = None, **attrs) -> None:
+    def tag(self, name: str, body: str | Callable[[], None] | None = None, /, **attrs) -> None:
         self.out.startElement(name, {k: self.BAD.sub("", str(v)) for k, v in attrs.items()})
         if callable(body):
             body()

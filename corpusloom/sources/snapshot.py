@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.errors import AnalysisException
 
 
 def cache_key(config_hash: str) -> Column:
@@ -24,13 +23,12 @@ def hits(files: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The current snapshot, or an empty one where there is none."""
-    try:
-        newest = spark.read.parquet(f"{path}/*")
-        last = newest.select(F.max(F.input_file_name())).first()[0]
-        return spark.read.parquet(last.rsplit("/", 1)[0]) if last else spark.createDataFrame([], schema)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    """The newest complete snapshot, or an empty one where there is none."""
+    jvm = spark.sparkContext._jvm
+    marks = jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")
+    found = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks)
+    folders = sorted((str(f.getPath().getParent()) for f in found or []), key=lambda p: p.rsplit("/", 1)[-1])
+    return spark.read.parquet(folders[-1]) if folders else spark.createDataFrame([], schema)
 
 
 def store(records: DataFrame, path: str, version: int) -> str:
