@@ -9,7 +9,8 @@
 3. The ``j``-th draw of a source over all shards takes block ``perm(j mod n)``
    of the source's ``n`` blocks, where ``perm`` is a Feistel permutation keyed
    by source and epoch ``j div n``: no block repeats before all were used.
-4. Slots and blocks are joined by source and block index.
+4. Slots and blocks are joined by source and block index, on narrow rows; the
+   texts move once, to be cut.
 
 Target weights default to the sources' token counts to the power ``ALPHA``.
 
@@ -31,15 +32,21 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.llm import sharding
-from corpusloom.llm.ranks import running_total
+from corpusloom.llm.ranks import key_columns, meet, running_total
 from corpusloom.llm.textkit import column, slices
-from corpusloom.llm.tokens import count_tokens, cuts
+from corpusloom.llm.tokens import count_tokens, parts
 from corpusloom.session import cut
 
 BLOCK_TOKENS = 1024
 SHARD_BLOCKS = 256
 ALPHA = 0.7
 SEED = 7
+SCHEMA = (
+    "shard long, slot long, place long, source string, epoch long, block long, doc_id long, lang string,"
+    " first_token long, n_tokens long, text string"
+)
+NAMES = [c.split()[0] for c in SCHEMA.split(",")]
+KINDS = [pa.string() if c.endswith("string") else pa.int64() for c in SCHEMA.split(",")]
 
 
 def draw(shard: int, blocks: int, weights: np.ndarray, seed: int) -> np.ndarray:
@@ -120,35 +127,6 @@ def slots(docs: DataFrame, sources: list, total: int, shard_blocks: int, seed: i
     return per_shard.mapInArrow(filled, "shard long, slot long, s long, epoch long, block long")
 
 
-def block_parts(placed: DataFrame, numbers: dict, block_tokens: int) -> DataFrame:
-    """Documents cut at block edges: ``s, block, place, doc_id, lang, source, first_token, n_tokens, text``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (*(pa.int64(),) * 4, pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
-        names = ["s", "block", "place", "doc_id", "lang", "source", "first_token", "n_tokens", "text"]
-        for b in slices(batches):
-            rows: list[tuple] = []
-            for i, t, lang, src, n, begin in zip(
-                *(column(b, c) for c in ("doc_id", "text", "lang", "source", "n", "begin"))
-            ):
-                if src not in numbers:
-                    continue
-                first = block_tokens - begin % block_tokens
-                at = [0, *range(first, n, block_tokens)]
-                parts = [t] if len(at) == 1 else cuts(t, at)
-                for a, z, part in zip(at, [*at[1:], n], parts):
-                    x = begin + a
-                    rows.append((numbers[src], x // block_tokens, x % block_tokens, i, lang, src, a, z - a, part))
-            cols = zip(*rows) if rows else ((),) * 9
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
-
-    return placed.mapInArrow(
-        run,
-        "s long, block long, place long, doc_id long, lang string, source string,"
-        " first_token long, n_tokens long, text string",
-    )
-
-
 def mix(
     docs: DataFrame,
     weights: dict[str | None, float] | None = None,
@@ -162,19 +140,41 @@ def mix(
     n_tokens, text``: the part's ``n_tokens`` tokens begin at ``first_token``
     of the document and at ``place`` of the block.
     """
-    docs = docs.select("doc_id", "text", "lang", "source", count_tokens("text").cast("long").alias("n")).where("n > 0")
-    sources = source_table(docs, block_tokens, weights)
-    everything = docs.groupBy("source").agg(F.sum("n").alias("n"))
+    n = count_tokens("text").cast("long").alias("n")
+    # The only pass that counts tokens; all that follows up to the texts is narrow.
+    rows = cut(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", *key_columns("lang", "source"), n).where("n > 0")
+    )
+    sources = source_table(rows, block_tokens, weights)
+    everything = rows.groupBy("source").agg(F.sum("n").alias("n"))
     total = everything.agg(F.sum(F.ceil(F.col("n") / block_tokens))).first()[0] or 0
     if not sources:
-        total = 0
-    columns = "shard, slot, place, source, epoch, block, doc_id, lang, first_token, n_tokens, text".split(", ")
-    numbers = {s: i for i, (s, _, _) in enumerate(sources)}
-    placed = running_total(
-        docs.withColumn("tkey", F.xxhash64("text", "lang")), ["source"], "doc_id", ["tkey"], F.col("n"), "begin"
+        return docs.sparkSession.createDataFrame([], SCHEMA)
+    numbers = docs.sparkSession.createDataFrame([(s, i) for i, (s, _, _) in enumerate(sources)], "src string, s long")
+    placed = running_total(rows, ["source"], "doc_id", ["tkey"], F.col("n"), "begin")
+    first, last = F.expr(f"begin div {block_tokens}"), F.expr(f"(begin + n - 1) div {block_tokens}")
+    spans = placed.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("src"))).select(  # one row a source
+        "kid", "tkey", "s", "begin", "n", F.explode(F.sequence(first, last)).alias("block")
     )
-    parts = block_parts(placed.drop("tkey"), numbers, block_tokens)
-    if not total:
-        return parts.withColumns({c: F.lit(0).cast("long") for c in ("shard", "slot", "epoch")}).select(columns).limit(0)
     drawn = cut(slots(docs, sources, total, shard_blocks, seed))
-    return parts.join(drawn, ["s", "block"]).select(columns)
+    # The draws grow with the corpus and their size is not known to the planner: never broadcast.
+    where = spans.join(drawn.hint("merge"), ["s", "block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            out: list[tuple] = []
+            for i, t, lang, src, items in zip(*(column(b, c) for c in ("doc_id", "text", "lang", "source", "items"))):
+                ranges = [
+                    (max(0, x["block"] * block_tokens - x["begin"]), min(x["n"], (x["block"] + 1) * block_tokens - x["begin"]))
+                    for x in items
+                ]
+                whole = all(a == 0 and z == x["n"] for (a, z), x in zip(ranges, items))
+                texts = [t] * len(items) if whole else parts(t, ranges)
+                for (a, z), x, part in zip(ranges, items, texts):
+                    place = x["begin"] + a - x["block"] * block_tokens
+                    out.append((x["shard"], x["slot"], place, src, x["epoch"], x["block"], i, lang, a, z - a, part))
+            cols = zip(*out) if out else ((),) * len(KINDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, KINDS)], names=NAMES)
+
+    fields = ["shard", "slot", "epoch", "block", "begin", "n"]
+    return meet(docs, where, fields, ["lang", "source"]).mapInArrow(run, SCHEMA)
