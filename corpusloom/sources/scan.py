@@ -82,6 +82,15 @@ def _decoded(files: DataFrame) -> DataFrame:
     return files.mapInArrow(run, "path string, size long, mtime double, src string")
 
 
+def sources(raw: DataFrame, base: str, config: ScanConfig) -> DataFrame:
+    """``path, size, mtime, src`` of the accepted rows of a binary file listing."""
+    rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{X.glob_regex(base)}/", "")
+    meta = raw.withColumn("path", rel).select(
+        "path", F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"), "content"
+    )
+    return _decoded(accept(meta, config))
+
+
 def scan(spark: SparkSession, root: str, config: ScanConfig | None = None) -> DataFrame:
     """``path, size, mtime, src`` of the accepted files below ``root``."""
     ship(spark)
@@ -93,8 +102,4 @@ def scan(spark: SparkSession, root: str, config: ScanConfig | None = None) -> Da
         .option("recursiveFileLookup", "true")
         .load([f"file://{p}" for p in scan_roots(base, config.exclude_dirs)])
     )
-    rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{X.glob_regex(base)}/", "")
-    meta = raw.withColumn("path", rel).select(
-        "path", F.col("length").alias("size"), F.col("modificationTime").cast("double").alias("mtime"), "content"
-    )
-    return _decoded(accept(meta, config))
+    return sources(raw, base, config)
