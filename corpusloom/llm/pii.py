@@ -123,6 +123,8 @@ _DETECTORS: list[tuple[str, re.Pattern]] = [
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
 ]
 _NEEDS_DIGIT = {"secret", "iban", "ip", "card", "phone", "ssn"}
+#: A secret without digits holds one of these.
+_KEY_MARKS = ("=", ":", "AKIA", "_", "xox", "eyJ")
 _DIGIT = re.compile(r"[0-9]")
 _BARE = re.compile(r"(?<![\w.])\d{7,12}(?!\w)")
 
@@ -271,7 +273,7 @@ def _detect(text: str, normal: Normal) -> list[Finding]:
     s, b, e = normal
     digit = bool(_DIGIT.search(s))
     mail = "@" in s
-    if not digit and not mail and "=" not in s and ":" not in s:
+    if not digit and not mail and not any(x in s for x in _KEY_MARKS):
         return []
     found = []
     for rank, (kind, rx) in enumerate(_DETECTORS):
