@@ -69,13 +69,12 @@ def file_rows(files: DataFrame) -> DataFrame:
 def compact_rows(files: DataFrame) -> DataFrame:
     """The short form: two-letter names, cut lists, rounded numbers; criticality keeps its word."""
     c = F.col
-    caps = F.struct(*[F.slice(k, 1, 5).alias(k) for k in ("functions", "classes", "exports")])
-    r = file_rows(files)
-    return r.join(files.select(c("path").alias("file"), caps.alias("caps")), "file").select(
+    caps = F.struct(*[F.slice(f"capabilities.{k}", 1, 5).alias(k) for k in ("functions", "classes", "exports")])
+    return file_rows(files).select(
         c("file").alias("f"), c("file_type").alias("ft"), c("domain").alias("d"), c("secondary_domain").alias("sd"),
         F.left("layer", F.lit(1)).alias("l"), c("criticality").alias("c"), c("entrypoint").alias("ep"),
         F.left("complexity_label", F.lit(1)).alias("cl"), c("complexity_score").alias("cs"), c("priority_score").alias("ps"),
-        c("priority_breakdown").alias("pb"), c("context").alias("cx"), c("role_hint").alias("rh"), "caps",
+        c("priority_breakdown").alias("pb"), c("context").alias("cx"), c("role_hint").alias("rh"), caps.alias("caps"),
         F.slice("dependencies", 1, 10).alias("deps"), F.slice("internal_dependencies", 1, 10).alias("ideps"),
         c("fan_in").alias("fi"), c("fan_out").alias("fo"), F.round("pagerank", 5).alias("pr"), c("warnings").alias("warns"),
         c("is_in_cycle").alias("cyc"), c("impact_radius").alias("ir"), F.round("refactor_effort", 4).alias("re"),
