@@ -193,18 +193,18 @@ def near_groups(
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each group; a row repeated in full stays once."""
-    key, times = (_fresh(docs, x) for x in ("tkey", "times"))
+    key, times, gid, gkey = (_fresh(docs, x) for x in ("tkey", "times", "gid", "gkey"))
     keyed = docs.withColumn(key, F.xxhash64("text"))
     groups = cut(near_groups(docs, threshold).select("doc_id", "tkey", "keep"))
-    gone = groups.where("not keep").select(F.col("doc_id").alias("id_"), F.col("tkey").alias("key_"))
-    same = keyed["doc_id"].eqNullSafe(F.col("id_")) & (keyed[key] == F.col("key_"))
+    gone = groups.where("not keep").select(F.col("doc_id").alias(gid), F.col("tkey").alias(gkey))
+    same = F.col("doc_id").eqNullSafe(F.col(gid)) & (F.col(key) == F.col(gkey))
     kept = keyed.join(gone, same, "left_anti")
     again = cut(
-        docs.select(F.col("doc_id").alias("id_"), F.xxhash64("text").alias("key_"))
-        .groupBy("id_", "key_")
+        docs.select(F.col("doc_id").alias(gid), F.xxhash64("text").alias(gkey))
+        .groupBy(gid, gkey)
         .agg(F.count(F.lit(1)).alias(times))
         .where(F.col(times) > 1)
-        .select("id_", "key_")
+        .select(gid, gkey)
     )
     if not again.isEmpty():
         once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", key])
