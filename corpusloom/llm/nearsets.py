@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.session import cut
 
@@ -40,6 +41,25 @@ def inverted_lists(sets: DataFrame) -> DataFrame:
     )
 
 
+def lists_of_entries(entries: DataFrame, threshold: float) -> DataFrame:
+    """``value, node, size`` of each node's prefix for a Jaccard index of ``threshold``, from ``value, node, size``.
+
+    The lists are those of ``inverted_lists``, but entries are shuffled once
+    (a value's entries are counted where they lie) and may be repeated.
+    """
+    once = entries.repartition("value").groupBy("value", "node").agg(F.first("size").alias("size"))
+    shared = (
+        once.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("value")))
+        .where("df > 1")
+        .groupBy("node")
+        .agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("s"))
+    )
+    room = F.size("s") - F.ceil(threshold * F.col("size")).cast("int") + 1
+    return shared.where(room > 0).select(F.explode(F.slice("s", F.lit(1), room)).alias("x"), "node", "size").select(
+        F.col("x.value").alias("value"), "node", "size"
+    )
+
+
 def star_pairs(lists: DataFrame) -> DataFrame:
     """Distinct ``a, b``: each list's smallest node with each other one."""
     hubs = lists.groupBy("value").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")

@@ -86,7 +86,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spotsigs.fingerprints(table(spark, sf_dir, "documents"))
+    return spotsigs.fingerprints(table(spark, sf_dir, "documents"), fallback=True)
 
 
 @query

@@ -2,8 +2,8 @@
 
 A spot is an anchor, one of a few very common words, followed by a chain of
 ``CHAIN`` content words (words that are no anchors), taken ``DISTANCE``
-content words apart.  Navigation and lists hold few anchors, so signatures
-come from running text.  A document is the set of its spots; documents with a
+content words apart.  Every anchor may lead.  Navigation and lists hold few
+anchors, so signatures come from running text.  A document is the set of its spots; documents with a
 Jaccard index of ``THRESHOLD`` or more share a fingerprint group.
 
 Sets are partitioned by length: bands grow by ``1 / THRESHOLD``, so similar
@@ -12,8 +12,14 @@ pair of neighbouring bands.  Within a list, pairs are pruned by the prefix
 filter and by the length bound before the sets are intersected; both are
 exact.
 
-Defined results: texts that are null, empty or without a complete spot have
-fingerprint null, no signature, and are groups of their own; repeated rows
+Texts without a complete spot are lists, fragments and repeated words.  With
+``fallback`` such a text is known by its words in order, so it shares
+fingerprint and group with texts of the same words, and with no others; its
+``n_spots`` is 0.
+
+Defined results: texts that are null, empty or wordless (without ``fallback``:
+or without a complete spot) have fingerprint null and are groups of their own;
+repeated rows
 give one row; an id repeated with different texts is several documents; a null
 ``doc_id`` takes part, but is a group's id only if no other member has one;
 an empty table gives an empty result; only ``doc_id`` and ``text`` are read.
@@ -36,7 +42,7 @@ from corpusloom.session import cut
 ANCHORS = (
     "the a an is was be to of and der die das und ist ein eine den zu le la les un une est et de des el los las una es y"
 ).split()
-SPOTS = "the a is be to and der die das ist le les est el los".split()
+SPOTS = ANCHORS
 CHAIN, DISTANCE = 3, 1
 THRESHOLD = 0.6
 
@@ -67,27 +73,75 @@ def spot_sets(texts: list[str | None], chain: int = CHAIN, distance: int = DISTA
     return out
 
 
-def signatures(docs: DataFrame, chain: int, distance: int) -> DataFrame:
-    """``doc_id, tkey, node, vals`` of every row; ``node`` identifies the set."""
+def word_node(text: str | None) -> int | None:
+    """Id of a text by its words in order, or None for a text without words."""
+    w = word_hashes([text])[0]
+    if not len(w):
+        return None
+    with np.errstate(over="ignore"):
+        x = mix64(mix64(np.arange(len(w), dtype=np.uint64)) ^ w).sum(dtype=np.uint64) + np.uint64(len(w))
+    return int(as_long(mix64(np.array([x], dtype=np.uint64)))[0])
+
+
+def entries(docs: DataFrame, chain: int, distance: int) -> DataFrame:
+    """``value, node, size`` of every spot of every row; rows with the same spots repeat them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = [s for s in spot_sets(column(b, "text"), chain, distance) if len(s)]
+            if not sets:
+                continue
+            size = np.array([len(s) for s in sets], dtype=np.int32)
+            node = np.array([node_of(s) for s in sets], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(as_long(np.concatenate(sets))), pa.array(np.repeat(node, size)), pa.array(np.repeat(size, size))],
+                names=["value", "node", "size"],
+            )
+
+    return docs.select("text").mapInArrow(run, "value long, node long, size int")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, chain: int, distance: int) -> DataFrame:
+    """``node, vals`` of the ``wanted`` nodes, one row a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            sets = spot_sets(column(b, "text"), chain, distance)
+            sets = [s for s in spot_sets(column(b, "text"), chain, distance) if len(s)]
             if not sets:
                 continue
             off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column(0).cast(pa.int64()),
-                    b.column(1),
                     pa.array([node_of(s) for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(off), pa.array(as_long(np.concatenate(sets)))),
                 ],
-                names=["doc_id", "tkey", "node", "vals"],
+                names=["node", "vals"],
+            )
+
+    found = docs.select("text").mapInArrow(run, "node long, vals array<long>")
+    return found.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("vals").alias("vals"))
+
+
+def marks(docs: DataFrame, chain: int, distance: int, fallback: bool) -> DataFrame:
+    """``doc_id, tkey, node, n_spots`` of every row; ``node`` identifies the set, or the words if there are no spots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            texts = column(b, "text")
+            sets = spot_sets(texts, chain, distance)
+            node = [node_of(s) if len(s) or not fallback else word_node(t) for s, t in zip(sets, texts)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0).cast(pa.int64()),
+                    b.column(1),
+                    pa.array(node, pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                ],
+                names=["doc_id", "tkey", "node", "n_spots"],
             )
 
     return docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text").mapInArrow(
-        run, "doc_id long, tkey long, node long, vals array<long>"
+        run, "doc_id long, tkey long, node long, n_spots long"
     )
 
 
@@ -110,33 +164,23 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def fingerprints(
-    docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN, distance: int = DISTANCE
+    docs: DataFrame, threshold: float = THRESHOLD, chain: int = CHAIN, distance: int = DISTANCE, fallback: bool = False
 ) -> DataFrame:
     """``doc_id, fingerprint, n_spots, group_id, group_size``: one row a document."""
-    # The texts are read twice: that costs less than keeping every set beside the distinct ones.
-    nodes = cut(
-        signatures(docs, chain, distance)
-        .where("node is not null")
-        .groupBy("node")
-        .agg(F.first("vals").alias("vals"))
-        .withColumn("need", F.ceil(threshold * F.size("vals")).cast("int"))
-    )
-    band = F.floor(F.log(F.size("vals").cast("double")) / F.lit(log(1 / threshold) * (1 - 1e-9)))
-    bands = nodes.select("node", band.alias("band"))
+    # The texts are read three times: that costs less than keeping every set.
+    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(log(1 / threshold) * (1 - 1e-9)))
     lists = (
-        nearsets.inverted_lists(nodes)
-        .join(bands, "node")
-        .withColumn("side", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+        nearsets.lists_of_entries(entries(docs, chain, distance), threshold)
+        .withColumn("side", F.explode(F.array(band, band + 1)))
         .select(F.xxhash64("value", "side").alias("value"), "node")
     )
     lists = cut(lists)
     many = lists.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("value")
     lists = cut(lists.join(many, "value"))
-    sets = cut(nodes.join(lists.select("node").distinct(), "node").select("node", "vals"))
+    sets = cut(sets_of(docs, lists.select("node").distinct(), chain, distance))
     comp = nearsets.group(lists, lambda pairs: _similar(pairs, sets, threshold))
     members = cut(
-        signatures(docs, chain, distance)
-        .select("doc_id", "tkey", "node", F.size("vals").cast("long").alias("n_spots"))
+        marks(docs, chain, distance, fallback)
         .distinct()
         .join(comp, "node", "left")
         .select("doc_id", F.col("node").alias("fingerprint"), "n_spots", F.coalesce("comp", "node").alias("comp"))

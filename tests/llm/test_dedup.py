@@ -135,6 +135,28 @@ def test_spotsigs_odd_rows(spark):
     assert spotsigs.fingerprints(empty(spark)).count() == 0
 
 
+def test_spotsigs_every_anchor_leads():
+    texts = [f"{x} casa verde grande" for x in spotsigs.ANCHORS]
+    assert [len(s) for s in spotsigs.spot_sets(texts)] == [1] * len(texts)
+
+
+def test_spotsigs_fallback(spark):
+    rows = [(1, "Reorea. Nd."), (2, "reorea nd"), (3, "nd reorea"), (4, "the a"), (5, "The a!"), (6, "la casa verde grande"), (7, "..."), (8, "...")]
+    got = {r.doc_id: r for r in spotsigs.fingerprints(docs(spark, [(i, t, "es", "w") for i, t in rows]), fallback=True).collect()}
+    assert {i: r.group_id for i, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 6, 7: 7, 8: 8}
+    assert got[1].fingerprint == got[2].fingerprint != got[3].fingerprint
+    assert {i: r.group_size for i, r in got.items()} == {1: 2, 2: 2, 3: 1, 4: 2, 5: 2, 6: 1, 7: 1, 8: 1}
+    assert {i for i, r in got.items() if r.fingerprint is None} == {7, 8} and [r.n_spots for _, r in sorted(got.items())] == [0] * 5 + [1, 0, 0]
+
+
+def test_spotsigs_query_groups_identical_texts(spark, sf_dir):
+    group = {r.doc_id: r.group_id for r in queries.QUERIES["op8_spotsigs"](spark, sf_dir).collect()}
+    first = {}
+    for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect():
+        if words(r.text):
+            assert group[first.setdefault(r.text, r.doc_id)] == group[r.doc_id]
+
+
 def test_embeddup_equals_sql(spark, sf_dir):
     got, want = both(queries.QUERIES["op10_embeddup"](spark, sf_dir), database(sf_dir), queries.ORACLES["op10_embeddup"])
     assert got == want
