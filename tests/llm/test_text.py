@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 
 import numpy as np
@@ -271,6 +272,20 @@ def test_toxicity_held_out(spark, sf_dir_medium):
     assert named.where("toxic").count() >= 0.95 * named.count() > 0
 
 
+def test_toxicity_held_out_all_labels(spark):
+    sf_dir = os.environ.get("TEST_SF_LARGE", "/root/testdata/sf0.1")
+    d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("toxic is not null")
+    found: dict = {}
+    for k in range(3):
+        marks = toxicity.score(d, toxicity.train(d, lab.where(f"doc_id % 3 != {k}"))).select("doc_id", F.col("toxic").alias("t"))
+        for r in marks.join(lab.where(f"doc_id % 3 = {k}"), "doc_id").join(d.select("doc_id", "lang"), "doc_id").collect():
+            found.setdefault((r.lang, bool(r.toxic)), []).append(r.t)
+    bad = [t for (_, toxic), ts in found.items() if toxic for t in ts]
+    good = [t for (_, toxic), ts in found.items() if not toxic for t in ts]
+    by_lang = {lang: (sum(ts), len(ts)) for (lang, toxic), ts in found.items() if toxic}
+    assert sum(bad) / len(bad) >= 0.8 and sum(good) / len(good) <= 0.02, by_lang
+
+
 def test_toxicity_odd_rows(spark, sf_dir):
     d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(d, lab)
