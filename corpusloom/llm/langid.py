@@ -35,7 +35,7 @@ BLOCK = 512
 #: Bounds of the labelled sample: documents and characters a language.
 SAMPLE_DOCS = 48
 SAMPLE_CHARS = 40_000
-#: Longer documents are not taken into the sample.
+#: Of longer documents the beginning is taken into the sample, and only where shorter ones do not fill it.
 SAMPLE_DOC_CHARS = 6_000
 MAX_BITS = 6.0
 SPACE, ALIEN = 1, 0
@@ -190,28 +190,31 @@ class CrossParser:
 
 
 def sample(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> dict[str, str]:
-    """Labelled text of each language: whole documents in hash order of their id.
+    """Labelled text of each language: whole documents in hash order of their id, then beginnings of longer ones.
 
-    The sample is bounded by ``docs_per_lang`` documents, none longer than
-    ``SAMPLE_DOC_CHARS``, and by ``chars`` characters, whatever the input.
+    The sample is bounded by ``docs_per_lang`` documents, of each at most
+    ``SAMPLE_DOC_CHARS`` characters, and by ``chars`` characters, whatever the
+    input.  A language of long documents only is sampled from these.
     Only the id, the label and the length are ranked; texts are read for the
     chosen ids alone.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    w = Window.partitionBy("lang").orderBy("h", "doc_id")
+    w = Window.partitionBy("lang").orderBy(F.col("n") > SAMPLE_DOC_CHARS, "h", "doc_id")
     ids = (
         rows.select("doc_id", "lang", F.length("text").alias("n"), F.xxhash64("doc_id").alias("h"))
-        .where(F.col("n").between(1, SAMPLE_DOC_CHARS))
+        .where("n > 0")
         .withColumn("r", F.row_number().over(w))
         .where(F.col("r") <= docs_per_lang)
-        .select("doc_id", "lang", "h")
+        .select("doc_id", "lang", "r")
         .collect()
     )
     if not ids:
         return {}
     want = {r.doc_id for r in ids}
-    got = rows.where(F.col("doc_id").isin(*want)).select("doc_id", "lang", "text").collect()
-    rank = {(r.doc_id, r.lang): r.h for r in ids}
+    got = rows.where(F.col("doc_id").isin(*want)).select(
+        "doc_id", "lang", F.substring("text", 1, SAMPLE_DOC_CHARS).alias("text")
+    ).collect()
+    rank = {(r.doc_id, r.lang): r.r for r in ids}
     parts: dict[str, list[str]] = {}
     for r in sorted(
         (r for r in got if (r.doc_id, r.lang) in rank), key=lambda r: (r.lang, rank[r.doc_id, r.lang], r.doc_id, r.text)

@@ -160,6 +160,15 @@ def test_pii_odd_rows(spark):
     assert pii.find(empty(spark)).count() == 0 and pii.redact(empty(spark)).count() == 0
 
 
+def test_language_of_long_documents_only(spark):
+    en, it = "the farmer counts his sheep in the evening light ", "il contadino conta le pecore nella luce della sera "
+    rows = [(i, en * 20, "en", "web") for i in range(3)] + [(9, it * 400, "it", "books")]
+    samples = langid.sample(docs(spark, rows))
+    assert set(samples) == {"en", "it"} and len(samples["it"]) == langid.SAMPLE_DOC_CHARS
+    got = {r.doc_id: (r.lang, r.accepted) for r in langid.identify(docs(spark, rows)).collect()}
+    assert got[9] == ("it", True) and got[0] == ("en", True)
+
+
 # --- quality
 
 
