@@ -8,9 +8,15 @@ character stands for:
    become ASCII, exotic dashes and blanks become ``-`` and a blank, and
    zero-width characters vanish;
 2. ``digits``: runs of seven or more spelled digits (English, German, French,
-   Spanish; "double" and "triple" too) become digits;
-3. ``at_dot``: "name [at] host (dot) tld", "name at host dot tld" and their
-   kin become ``name@host.tld``.
+   Spanish; "double" and "triple" and numerals of any length too) become digits;
+3. ``at_dot``: "name [at] host (dot) tld", "name at host dot tld", "name at
+   host.tld" and their kin become ``name@host.tld``.
+
+Left out on purpose: "name at host" with an end that is neither a country's
+nor listed; "name at host.tld" after one of ``_PROSE`` ("look at example.com");
+runs of fewer than five tokens, or three if one is a numeral of two or more
+digits, and such a numeral beside one digit word only ("555-4974, un ..."); runs that repeat one to three digits ("un un un ..."); Spanish
+groups of three parted by dots (thousands); bare numbers not spelled out.
 
 Identifiers are detected in what comes out, and their spans are mapped back to
 source characters, so a redaction replaces exactly the disguised passage.
@@ -78,9 +84,12 @@ _DIGIT_WORDS = {
     "une": "1",
 }
 _TIMES = {"double": 2, "doppel": 2, "doble": 2, "triple": 3}
-_ANY_DIGIT = "(?:" + "|".join(sorted([*_DIGIT_WORDS, *_TIMES], key=len, reverse=True)) + r"|[0-9])"
-_SPELLED_RUN = re.compile(rf"(?<!\w)(?:{_ANY_DIGIT}[\s,.\-]+){{4,}}{_ANY_DIGIT}(?!\w)", re.I)
-_SPELLED_TOKEN = re.compile(r"[^\W\d_]+|\d")
+_ANY_WORD = "(?:" + "|".join(sorted([*_DIGIT_WORDS, *_TIMES], key=len, reverse=True)) + ")"
+_ANY_DIGIT = rf"(?:{_ANY_WORD}|[0-9]+)"
+_SPELLED_RUN = re.compile(rf"(?<!\w)(?:{_ANY_DIGIT}[\s,.\-]+){{2,}}{_ANY_DIGIT}(?!\w)", re.I)
+_SPELLED_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+")
+_NUMERAL = re.compile(r"[0-9]{2,}")
+_MIXED_HINT = re.compile(rf"(?<!\w)(?:[0-9]{{2,}}[\s,.\-]+{_ANY_WORD}(?!\w)|{_ANY_WORD}[\s,.\-]+[0-9]{{2,}})", re.I)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT_WORD, _DOT_WORD = "(?:at|arroba|ät)", "(?:dot|punkt|punto|point)"
 _AT_B = rf"\s*{_OPEN}\s*(?:{_AT_WORD}|@)\s*{_CLOSE}\s*"
@@ -89,13 +98,23 @@ _AT_PLAIN, _DOT_PLAIN = rf"\s+{_AT_WORD}\s+", rf"\s+{_DOT_WORD}\s+"
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _LOCAL = r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*"
 #: Ends that make "name at host dot tld" an address; without brackets the words alone are prose.
-_TLD = "(?:com|org|net|edu|gov|mil|int|info|biz|io|ai|app|dev|co|me|tv|eu|uk|us|ca|au|de|at|ch|fr|es|it|nl|be|pt|pl|se|no|dk|fi|ru|cn|jp|kr|in|br|mx|ar|example|test)"
+_TLD = "(?:com|org|net|edu|gov|mil|int|info|biz|io|ai|app|dev|co|me|tv|eu|uk|us|ca|au|de|at|ch|fr|es|it|nl|be|pt|pl|se|no|dk|fi|ru|cn|jp|kr|in|br|mx|ar|example|test"
+_TLD += "|name|pro|xyz|online|site|shop|store|tech|cloud|blog|email|cat"
+_TLD += "".join(f"|{a}[{b}]" for a, b in zip("abcdefghijklmnopqrstuvwyz", (
+    "cdefgilmoqrstuwxz abdefghijmnorstvwyz acdfghiklmnoruvwxyz ejkmoz cegrstu ijkmor abdefghilmnpqrstuwy kmnrtu delmnoqrst emop "
+    "eghimnprwyz abcikrstuvy acdeghklmnopqrstuvwxyz acefgilopruz m aefghklmnrstwy a eosuw abcdeghijklmnorstvxyz cdfghjklmnortvwz agksyz "
+    "aceginu fs et amw").split())) + ")"
+#: Words that stand before "at host.tld" in prose.
+_PROSE = "look|looks|looked|looking|us|me|it|them|him|her|find|found|available|visit|see|read|more|online|live|hosted|here|is|are|was|were|and|or|page|site|website|news"
 _DISGUISED = re.compile(
     rf"(?<![\w.])(?P<local>{_LOCAL}(?:(?:{_DOT_B}|{_DOT_PLAIN}){_LOCAL})*)"
     rf"(?:(?P<at1>{_AT_B}|\s*@\s*)(?P<host1>{_LABEL}(?:(?:{_DOT_B}|{_DOT_PLAIN}|\.){_LABEL})+)"
-    rf"|(?P<at2>{_AT_PLAIN})(?P<host2>{_LABEL}(?:(?:{_DOT_B}|{_DOT_PLAIN}){_LABEL})*(?:{_DOT_B}|{_DOT_PLAIN}){_TLD}))(?!\w)",
+    rf"|(?P<at2>{_AT_PLAIN})(?P<host2>{_LABEL}(?:(?:{_DOT_B}|{_DOT_PLAIN}){_LABEL})*(?:{_DOT_B}|{_DOT_PLAIN}){_TLD})"
+    rf"|(?P<at3>{_AT_PLAIN})(?P<host3>{_LABEL}(?:(?:{_DOT_B}|{_DOT_PLAIN}|\.){_LABEL})*\.{_TLD}))(?!\w)",
     re.I,
 )
+_AT_HOST_HINT = re.compile(rf"{_AT_PLAIN}{_LABEL}(?:\.|\s*{_OPEN}|{_DOT_PLAIN})", re.I)
+_PROSE_LOCAL = re.compile(_PROSE, re.I)
 _DOTS = re.compile(rf"{_DOT_B}|{_DOT_PLAIN}", re.I)
 _AT_DOT_HINT = re.compile(rf"\b{_DOT_WORD}\b|{_OPEN}\s*(?:{_AT_WORD}|{_DOT_WORD}|@|\.)\s*{_CLOSE}|\s@|@\s", re.I)
 
@@ -117,7 +136,7 @@ _DETECTORS: list[tuple[str, re.Pattern]] = [
         "phone",
         re.compile(
             r"(?<![\w.])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}"
-            r"|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{2,4}[ /.-]\d{3,4}[ .-]?\d{2,5}|1?\d{10})(?!\w)"
+            r"|\d{3}[ .-]\d{3}[ .-]\d{4}|0[1-9](?:[ .-]\d{2}){4}|[6-9]\d{2}(?:[ -]\d{3}){2}|[6-9]\d{2}(?:[ -]\d{2}){3}|0\d{2,4}[ /.-]\d{3,4}[ .-]?\d{2,5}|1?\d{10})(?!\w)"
         ),
     ),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
@@ -179,6 +198,12 @@ def _are(h: np.ndarray, words: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 _DIGIT_HASHES = _word_lut([*_DIGIT_WORDS, *_TIMES, *"0123456789"])
 _DOT_HASHES = _word_lut(["dot", "punkt", "punto", "point"])
+_AT_HASHES = _word_lut(["at", "arroba", "ät"])
+
+
+def _mixed(text: str) -> bool:
+    """Does a digit word stand beside a numeral of two or more digits?"""
+    return any(_MIXED_HINT.search(text, max(0, m.start() - 12), m.end() + 12) for m in _NUMERAL.finditer(text))
 
 
 def hints(folded: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -196,8 +221,14 @@ def hints(folded: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             run = at[4:] - at[:-4] == 4
             doc = np.searchsorted(off, at[:-4][run], side="right") - 1
             spelled[part.start + doc] = True
+        doc = np.unique(np.searchsorted(off, at, side="right") - 1)
+        for i in (part.start + doc).tolist():
+            spelled[i] = spelled[i] or _mixed(folded[i])
         doc = np.searchsorted(off, _are(h, _DOT_HASHES), side="right") - 1
         disguised[part.start + doc] = True
+        doc = np.unique(np.searchsorted(off, _are(h, _AT_HASHES), side="right") - 1)
+        for i in (part.start + doc).tolist():
+            disguised[i] = disguised[i] or _AT_HOST_HINT.search(folded[i]) is not None
     for i, t in enumerate(folded):
         if t and not disguised[i] and ("@" in t or "[" in t or "(" in t or "{" in t or "<" in t):
             disguised[i] = _AT_DOT_HINT.search(t) is not None
@@ -208,13 +239,16 @@ def spelled_edits(text: str) -> list[Edit]:
     """One edit for each digit of every run of seven or more spelled digits.
 
     A digit's span reaches to the next one, so separators vanish.  Runs with
-    no digit word at all are left to the detectors; runs of one or two
-    different digits are taken for repeated words ("un un un ...").
+    no digit word at all are left to the detectors; runs that repeat their
+    first one to three digits are taken for repeated words ("un un un ...").
     """
     edits: list[Edit] = []
     for run in _SPELLED_RUN.finditer(text):
         tokens = list(_SPELLED_TOKEN.finditer(text, run.start(), run.end()))
-        if all(m[0].isdigit() for m in tokens):
+        numerals = [m[0] for m in tokens if m[0].isdigit()]
+        if len(tokens) == len(numerals):
+            continue
+        if len(tokens) < 5 if all(len(x) == 1 for x in numerals) else len(tokens) - len(numerals) < 2:
             continue
         made: list[Edit] = []
         times, begin = 1, None
@@ -228,7 +262,7 @@ def spelled_edits(text: str) -> list[Edit]:
             made.append((begin, stop, _DIGIT_WORDS.get(word, m[0]) * times))
             times, begin = 1, None
         number = "".join(x[2] for x in made)
-        if len(number) >= 7 and len(set(number)) >= 3:
+        if len(number) >= 7 and not any(number == (number[:k] * len(number))[: len(number)] for k in (1, 2, 3)):
             edits += made
     return edits
 
@@ -237,7 +271,9 @@ def at_dot_edits(text: str) -> list[Edit]:
     """Edits that undo at/dot disguises inside address-shaped passages."""
     edits: list[Edit] = []
     for m in _DISGUISED.finditer(text):
-        which = "1" if m["at1"] is not None else "2"
+        which = next(x for x in "123" if m["at" + x] is not None)
+        if which == "3" and _PROSE_LOCAL.fullmatch(m["local"]):
+            continue
         for group in ("local", "host" + which):
             edits += [(d.start(), d.end(), ".") for d in _DOTS.finditer(text, m.start(group), m.end(group))]
         if m["at" + which] != "@":

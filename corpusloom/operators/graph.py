@@ -213,14 +213,14 @@ def subgraph_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ).select("src", "dst")
 
 
-def dependency_chain(edges: DataFrame, source: str, target: str, direction: str = "outbound", most: int = 1000) -> list[str]:
+def dependency_chain(edges: DataFrame, source: str, target: str, direction: str = "outbound") -> list[str]:
     """Shortest path; of several the one that is least in order. ``[]`` if there is none."""
     if source == target:
         return [source]
     e = edges if direction != "inbound" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     front = edges.sparkSession.createDataFrame([(source, [source])], "v string, chain array<string>")
     seen = cut(front.select("v"))
-    for _ in range(most):
+    while True:
         nxt = front.join(e, front["v"] == e["src"]).select(F.col("dst").alias("v"), F.array_append("chain", F.col("dst")).alias("chain"))
         front = cut(nxt.join(seen, "v", "left_anti").groupBy("v").agg(F.min("chain").alias("chain")))
         hit = front.where(F.col("v") == target).select("chain").first()
@@ -229,4 +229,3 @@ def dependency_chain(edges: DataFrame, source: str, target: str, direction: str
         if front.isEmpty():
             return []
         seen = cut(seen.union(front.select("v")))
-    return []

@@ -119,6 +119,28 @@ def test_disguises_map_back_to_source(text, kind, surface, normal):
         assert pii.redacted(before + text, found) == before + text.replace(surface, f"[{kind.upper()}]")
 
 
+FURTHER = [
+    ("ask jane at example.com today", "email", "jane at example.com", "jane@example.com"),
+    ("ask jane at firma dot cz today", "email", "jane at firma dot cz", "jane@firma.cz"),
+    ("call 555 one two three four five six now", "phone", "555 one two three four five six", "555123456"),
+    ("call five five five oh five oh five now", "phone", "five five five oh five oh five", "5550505"),
+    ("tel 06 12 34 56 78, merci", "phone", "06 12 34 56 78", "06 12 34 56 78"),
+    ("tel 612 345 678, gracias", "phone", "612 345 678", "612 345 678"),
+    ("tel 612 34 56 78, gracias", "phone", "612 34 56 78", "612 34 56 78"),
+]
+
+
+@pytest.mark.parametrize("text,kind,surface,normal", FURTHER)
+def test_further_disguises(text, kind, surface, normal):
+    (found,) = pii.detect([text])
+    assert [(k, text[b:e], n) for k, b, e, n in found] == [(kind, surface, normal)]
+
+
+@pytest.mark.parametrize("text", ["look at example.com", "we met at noon. it rained", "one two one two one two one two", "from 612.345.678 euros"])
+def test_deliberate_exclusions(text):
+    assert list(pii.detect([text])) == [[]]
+
+
 CLEAN = [
     "one two three buckle my shoe", "we met at the dot on the map", "version 1.2.3 of 2024-05-06", "in 1999 and 2000 there were 1,234,567 birds",
     "look at this", "un un un un un un un un", "chapter 3, verses 16-17", "a@b", "five of the seven dwarfs",
