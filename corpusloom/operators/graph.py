@@ -213,11 +213,38 @@ def subgraph_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ).select("src", "dst")
 
 
-def dependency_chain(edges: DataFrame, source: str, target: str, direction: str = "outbound") -> list[str]:
+def _local_chain(pairs: list, source: str, target: str) -> list[str]:
+    near = defaultdict(set)
+    for s, d in pairs:
+        near[s].add(d)
+    came, front = {source: None}, [source]
+    while front and target not in came:
+        # the front is in order of its chains, so who comes first has the least chain
+        nxt = []
+        for v in front:
+            for u in sorted(near[v]):
+                if u not in came:
+                    came[u] = v
+                    nxt.append(u)
+        front = nxt
+    chain, v = [], target if target in came else None
+    while v is not None:
+        chain.append(v)
+        v = came[v]
+    return chain[::-1]
+
+
+def dependency_chain(
+    edges: DataFrame, source: str, target: str, direction: str = "outbound", local_edges: int = LOCAL_EDGES
+) -> list[str]:
     """Shortest path; of several the one that is least in order. ``[]`` if there is none."""
     if source == target:
         return [source]
     e = edges if direction != "inbound" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    e = e.select("src", "dst").where("src is not null and dst is not null")
+    if edges.count() <= local_edges:
+        run = lambda batches: [pd.DataFrame({"v": _local_chain([p for b in batches for p in zip(b["src"], b["dst"])], source, target)}, dtype=object)]
+        return [r.v for r in e.coalesce(1).mapInPandas(run, "v string").collect()]
     front = edges.sparkSession.createDataFrame([(source, [source])], "v string, chain array<string>")
     seen = cut(front.select("v"))
     while True:

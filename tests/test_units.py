@@ -65,6 +65,21 @@ def test_edges_cycle_and_rank(result, files):
     assert files["src/app.py"]["external"] == [] and files["src/dep.py"]["external"] == ["requests"]
 
 
+def test_dependency_chain_of_any_length(spark):
+    name = "f{:05d}".format
+    edges = spark.createDataFrame([(name(i), name(i + 1)) for i in range(1500)], "src string, dst string")
+    assert graph.dependency_chain(edges, name(0), name(1500)) == [name(i) for i in range(1501)]
+    assert graph.dependency_chain(edges, name(1500), name(0)) == []
+
+
+def test_dependency_chain_both_ways(spark):
+    edges = spark.createDataFrame([("s", "b"), ("s", "a"), ("b", "c"), ("a", "z"), ("c", "t"), ("z", "t"), ("t", "s"), ("q", "q")], "src string, dst string")
+    for source, target, direction in (("s", "t", "outbound"), ("t", "b", "inbound"), ("s", "q", "outbound")):
+        both = [graph.dependency_chain(edges, source, target, direction, local_edges=n) for n in (graph.LOCAL_EDGES, 0)]
+        assert both[0] == both[1], both
+    assert graph.dependency_chain(edges, "s", "t") == ["s", "a", "z", "t"]
+
+
 def test_query_service(service):
     assert service.get_dependents("src/app.py") == ["src/dep.py"]
     assert service.search_symbol("RUN") == [{"file": "src/app.py", "symbols": ["run"]}]
