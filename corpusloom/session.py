@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,24 +37,68 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 
     A cluster names it and it is used as it is.  Only where the setting is
-    absent, as in local tests, a temporary folder is chosen.
+    absent and the whole session runs on this machine, as in tests, a
+    temporary folder is chosen; elsewhere the other machines could not read
+    it, so that is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     have = sc.getCheckpointDir()
     if have is None:
-        have = named or tempfile.mkdtemp(prefix="corpusloom-ckpt-")
+        have = named
+        if have is None:
+            if sc.master != "local" and not sc.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+            have = tempfile.mkdtemp(prefix="corpusloom-ckpt-")
+            fs, path = _file_system(spark, have)
+            fs.deleteOnExit(path)
         sc.setCheckpointDir(have)
     return have
 
 
+_SCRATCH: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's own folder under the shared one; it goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpusloom-{app}-{uuid.uuid4().hex[:8]}"
+        fs, path = _file_system(spark, folder)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _SCRATCH[app] = folder
+    return _SCRATCH[app]
+
+
+def _file_system(spark: SparkSession, folder: str) -> tuple:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and drop its lineage.
+    """Materialise ``df`` as Parquet in the shared folder and read it again.
 
-    The files survive the loss of any executor.
+    That drops the lineage *and* the planner's size estimate: the result has
+    the size of its files, however often it was joined with itself before.
+    The files survive the loss of any executor, readers take only the columns
+    they need, and ``free`` removes them.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_cut_path"] = path
+    return out
+
+
+def free(*frames: DataFrame | None) -> None:
+    """Remove the files of results of ``cut`` that nothing reads any more."""
+    for df in frames:
+        path = None if df is None else df.__dict__.pop("_cut_path", None)
+        if path is not None:
+            fs, at = _file_system(df.sparkSession, path)
+            fs.delete(at, True)
 
 
 def ship(spark: SparkSession) -> None:
