@@ -133,7 +133,7 @@ def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
         ub = nodes.select(F.col("node").alias("b"), F.col("unit").alias("ub"))
         return pairs.join(ub, "b").join(ua, "a").select("a", "b", "ua", "ub").mapInArrow(check, "a long, b long")
 
-    comp = nearsets.group(lists, verify)
+    comp = nearsets.group(lists, verify, 0.0)
     members = cut(
         rows.select("vec_id", "node")
         .distinct()

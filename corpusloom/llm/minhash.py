@@ -9,7 +9,9 @@ the connected components of the pairs at or above ``THRESHOLD``.
 
 Documents with the same shingles are one node from the start, so exact copies
 cost nothing however many there are; ``nearsets`` keeps near copies in
-thousands linear.
+thousands linear.  Families that share much but stay below the threshold (a
+template filled in thousands of times) make long lists of sketch values; their
+members are compared by prefix lists of their whole shingle sets instead.
 
 Defined results: null, empty and wordless texts have no shingles and are
 groups of their own; a row repeated in full (same id and text) is one
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm import nearsets
 from corpusloom.llm.textkit import as_long, column, mix64, pieces, shingle_hashes, slices
-from corpusloom.session import cut
+from corpusloom.session import cut, free
 
 N, K = 3, 64
 THRESHOLD, SLACK = 0.6, 0.15
@@ -133,16 +135,42 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> D
     return pairs.join(xb, "b").join(xa, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, text`` for ``wanted`` (``node, tkey``), one row a node."""
-    if wanted.count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
+def fetch(docs: DataFrame, wanted: DataFrame, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """``node, text`` for ``wanted`` (``node, tkey``), one row a node.
+
+    Up to ``broadcast_keys`` keys are broadcast, more are joined by shuffle.
+    """
+    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_keys else wanted.hint("merge")
     keyed = docs.select(F.xxhash64("text").alias("tkey"), "text")
     return keyed.join(wanted, "tkey").groupBy("node").agg(F.min("text").alias("text"))
 
 
+def _entries(texts: DataFrame, n: int) -> DataFrame:
+    """``value, node, size`` of every shingle of ``texts`` (``node, text``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            sets = distinct_shingles(column(b, "text"), n)
+            if not sets:
+                continue
+            size = np.array([len(s) for s in sets], dtype=np.int32)
+            node = np.repeat(b.column(0).to_numpy(), size)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(as_long(np.concatenate(sets))), pa.array(node), pa.array(np.repeat(size, size))],
+                names=["value", "node", "size"],
+            )
+
+    return texts.select("node", "text").mapInArrow(run, "value long, node long, size int")
+
+
 def near_groups(
-    docs: DataFrame, threshold: float = THRESHOLD, n: int = N, k: int = K, slack: float = SLACK
+    docs: DataFrame,
+    threshold: float = THRESHOLD,
+    n: int = N,
+    k: int = K,
+    slack: float = SLACK,
+    broadcast_keys: int = BROADCAST_KEYS,
+    heavy: int = nearsets.HEAVY,
 ) -> DataFrame:
     """``doc_id, tkey, comp, group_id, group_size, keep``: one row a document.
 
@@ -153,20 +181,25 @@ def near_groups(
     nodes = cut(
         sig.where("node is not null")
         .groupBy("node")
-        .agg(F.first("vals").alias("vals"), F.min("tkey").alias("tkey"))
+        .agg(F.first("vals").alias("vals"), F.first("n").alias("size"), F.min("tkey").alias("tkey"))
         .withColumn("need", F.greatest(F.lit(1), F.ceil((threshold - slack) * F.size("vals"))).cast("int"))
     )
-    lists = cut(nearsets.inverted_lists(nodes))
-    many = lists.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("value")
-    lists = cut(lists.join(many, "value"))
+    every = cut(nearsets.inverted_lists(nodes))
+    lists = cut(nearsets.long_lists(every))
     listed = nodes.join(lists.select("node").distinct(), "node")
     sketches = cut(listed.select("node", "vals"))
-    texts = cut(fetch(docs, cut(listed.select("node", "tkey"))))
+    wanted = cut(listed.select("node", "tkey"))
+    texts = cut(fetch(docs, wanted, broadcast_keys))
+    free(every, nodes, wanted)
 
     def verify(pairs: DataFrame) -> DataFrame:
         return _verified(cut(_estimated(pairs, sketches, k, threshold - slack)), texts, n, threshold)
 
-    comp = nearsets.group(lists, verify)
+    def whole_sets(wanted: DataFrame) -> DataFrame:
+        return nearsets.banded_lists(_entries(texts.join(wanted, "node", "left_semi"), n), threshold)
+
+    comp = nearsets.group(lists, verify, threshold, whole_sets, heavy)
+    free(lists, sketches, texts)
     members = (
         sig.select("doc_id", "tkey", "node")
         .distinct()

@@ -11,111 +11,265 @@ list first pairs its members with one hub only (a star); verified stars merge
 into components, and only pairs of *different* components are enumerated after
 that.  The components are those of the full pair graph: a pair inside one
 component cannot change it, and every other pair of a list is compared.
+
+A family of thousands that share much and yet stay below the threshold would be
+enumerated in full.  Two exact bounds prevent that.  Lists are kept per pair of
+length bands, so ``need`` is nearly what two sets of these sizes must share; a
+family whose common part is smaller has no list at all (``banded_lists``).  And
+a pair is dropped where its positions in a list leave too few values
+(``_enough``).  Lists made from sketches cannot have the first bound; where such
+a list has more than ``HEAVY`` members of several components, these members are
+listed again by their whole sets (``refine`` of ``group``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from math import ceil, log
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
+from corpusloom.session import cut, free
 
-from corpusloom.session import cut
+#: Members from which a list of sketch values is replaced by lists of whole sets.
+HEAVY = 128
+#: Edges that one task contracts at once (16 bytes each).
+TASK_EDGES = 1 << 20
+#: Sizes within one length band differ by at most this factor.
+BAND = 1.1
 
 
 def inverted_lists(sets: DataFrame) -> DataFrame:
-    """``value, node`` of each node's prefix, from ``node, need, vals``.
+    """``value, node, size`` of each node's prefix, from ``node, size, need, vals``.
 
     Values held by one node alone are its rarest and fill the prefix first;
     they are counted, never listed.  Of ``m`` shared values the prefix has
     room for ``m - need + 1``.
     """
-    rows = sets.select("node", "need", F.explode("vals").alias("value"))
+    rows = sets.select("node", "size", "need", F.explode("vals").alias("value"))
     df = rows.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = rows.join(df, "value").groupBy("node", "need").agg(
+    shared = rows.join(df, "value").groupBy("node", "size", "need").agg(
         F.array_sort(F.collect_list(F.struct("df", "value"))).alias("s")
     )
     room = F.size("s") - F.col("need") + 1
-    return shared.where(room > 0).select(F.explode(F.slice("s", F.lit(1), room)).alias("x"), "node").select(
-        F.col("x.value").alias("value"), "node"
+    return shared.where(room > 0).select(F.explode(F.slice("s", F.lit(1), room)).alias("x"), "node", "size").select(
+        F.col("x.value").alias("value"), "node", "size"
     )
 
 
-def lists_of_entries(entries: DataFrame, threshold: float) -> DataFrame:
-    """``value, node, size`` of each node's prefix for a Jaccard index of ``threshold``, from ``value, node, size``.
+def overlap_needed(a: Column, b: Column, threshold: float) -> Column:
+    """Values that sets of these sizes share at a Jaccard index of ``threshold``."""
+    return F.ceil(F.lit(threshold / (1 + threshold)) * (a + b) - F.lit(1e-9)).cast("int")
 
-    The lists are those of ``inverted_lists``, but entries are shuffled once
-    (a value's entries are counted where they lie) and may be repeated.
+
+def banded_lists(entries: DataFrame, threshold: float) -> DataFrame:
+    """``value, node, size, m, pos, band, other`` for a Jaccard index of ``threshold``, from ``value, node, size``.
+
+    A list's ``value`` stands for a set's value and a pair of length bands, of
+    which the node is in one (``band``, the other is ``other``).  ``m`` counts
+    the node's values that other nodes hold too, ``pos`` is the value's place
+    among them, rarest first.  Entries may be repeated.  A value that a third
+    of all nodes hold is counted by partial sums, and its entries meet the count
+    in a join that adaptive execution splits.
     """
-    once = entries.repartition("value").groupBy("value", "node").agg(F.first("size").alias("size"))
+    once = entries.groupBy("value", "node").agg(F.first("size").alias("size"))
+    df = once.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = (
-        once.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("value")))
-        .where("df > 1")
+        once.join(df, "value")
         .groupBy("node")
         .agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("s"))
+        .withColumn("m", F.size("s"))
     )
-    room = F.size("s") - F.ceil(threshold * F.col("size")).cast("int") + 1
-    return shared.where(room > 0).select(F.explode(F.slice("s", F.lit(1), room)).alias("x"), "node", "size").select(
-        F.col("x.value").alias("value"), "node", "size"
+    step = log(BAND)
+    reach = ceil(log(1 / threshold) / step + 1e-9)
+    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(step) + F.lit(1e-9))
+    other = F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach))
+    # the smallest set of the other band, or the smallest that can be similar
+    least = F.greatest(F.exp(F.col("other") * step) * (1 - 1e-6), F.col("size") * threshold)
+    room = F.col("m") - overlap_needed(F.col("size"), least, threshold) + 1
+    placed = (
+        shared.withColumn("band", band)
+        .withColumn("other", other)
+        .withColumn("room", F.least(room, F.col("m")))
+        .where("room > 0")
+        .select(F.posexplode(F.slice("s", F.lit(1), F.col("room"))).alias("pos", "x"), "node", "size", "m", "band", "other")
     )
+    key = F.xxhash64("x.value", F.least("band", "other"), F.greatest("band", "other"))
+    return placed.select(key.alias("value"), "node", "size", "m", "pos", "band", "other")
 
 
-def star_pairs(lists: DataFrame) -> DataFrame:
+def long_lists(lists: DataFrame) -> DataFrame:
+    """The entries of lists with two members or more."""
+    many = lists.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("value")
+    return lists.join(many, "value")
+
+
+def _enough(lists: DataFrame, threshold: float) -> Column:
+    """Can two entries ``x, y`` of a list belong to sets as similar as ``threshold``?"""
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    if "size" not in lists.columns:
+        return F.lit(True)
+    ok = F.least(x("size"), y("size")) >= F.lit(threshold) * F.greatest(x("size"), y("size"))
+    if "pos" in lists.columns:
+        most = F.least(x("pos"), y("pos")) + F.least(x("m") - x("pos"), y("m") - y("pos"))
+        ok = ok & (x("band") == y("other")) & (most >= overlap_needed(x("size"), y("size"), threshold))
+    return ok
+
+
+def star_pairs(lists: DataFrame, threshold: float) -> DataFrame:
     """Distinct ``a, b``: each list's smallest node with each other one."""
-    hubs = lists.groupBy("value").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z")
+    entry = F.struct("node", *[c for c in lists.columns if c not in ("value", "node")])
+    hubs = lists.groupBy("value").agg(F.min(entry).alias("x"), F.max("node").alias("z")).where("x.node < z")
+    y = lists.select("value", entry.alias("y"))
     return (
-        lists.join(hubs.select("value", "a"), "value")
-        .where("a < node")
-        .select("a", F.col("node").alias("b"))
+        y.join(hubs.select("value", "x"), "value")
+        .where((F.col("x.node") < F.col("y.node")) & _enough(lists, threshold))
+        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .distinct()
     )
 
 
-def cross_pairs(lists: DataFrame, comp: DataFrame) -> DataFrame:
-    """Distinct ``a < b`` that share a list but no component."""
-    own = lists.join(comp, "node", "left").select("value", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = own.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    own = own.join(mixed.select("value"), "value")
-    right = own.select("value", F.col("node").alias("b"), F.col("comp").alias("cb"))
-    return (
-        own.join(right, "value").where("node < b and comp != cb").select(F.col("node").alias("a"), "b").distinct()
+def mixed_lists(lists: DataFrame, comp: DataFrame) -> DataFrame:
+    """``lists`` whose members are of several components, with ``comp`` and the number of members ``members``."""
+    own = lists.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = (
+        own.groupBy("value")
+        .agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members"))
+        .where("lo < hi")
     )
+    return own.join(mixed.select("value", "members"), "value")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, comp`` of the undirected graph with edges ``a, b``.
+def cross_pairs(mixed: DataFrame, threshold: float) -> DataFrame:
+    """Distinct ``a < b`` that share a list but no component."""
+    entry = F.struct(*[c for c in mixed.columns if c not in ("value", "members")])
+    x, y = mixed.select("value", entry.alias("x")), mixed.select("value", entry.alias("y"))
+    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
+    both = x.join(y, "value").where(apart & _enough(mixed, threshold))
+    return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
-    Each round maps every node to the least of itself and its neighbours and
-    contracts the edges to these.  Node ids are hashes, so the nodes that stay
-    are a constant fraction and the rounds logarithmic.
+
+def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges ``a, b``, sorted, and the least node of each one's component."""
+    names, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = flat[: len(a)], flat[len(a) :]
+    root = np.arange(len(names))
+    while True:
+        rx, ry = root[x], root[y]
+        apart = rx != ry
+        if not apart.any():
+            return names, names[root]
+        x, y, rx, ry = x[apart], y[apart], rx[apart], ry[apart]
+        np.minimum.at(root, np.maximum(rx, ry), np.minimum(rx, ry))
+        while True:  # every node points at its root again
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+
+
+def _forest(edges: DataFrame, tasks: int) -> DataFrame:
+    """Edges ``a < b`` with the same components: those of each of ``tasks`` partitions become stars around their least nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        a, b = (np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1))
+        names, root = _roots(a, b)
+        keep = names != root
+        yield pa.RecordBatch.from_arrays([pa.array(root[keep]), pa.array(names[keep])], names=["a", "b"])
+
+    return edges.select("a", "b").coalesce(tasks).mapInArrow(run, "a long, b long")
+
+
+def _order(node: str, turn: int) -> Column:
+    """Key of a node: its id in even turns, a hash of the turn's own in odd ones."""
+    return F.struct((F.col(node) if turn % 2 == 0 else F.xxhash64(node, F.lit(turn))).alias("h"), F.col(node).alias("v"))
+
+
+def _composed(mapping: DataFrame | None, hop: DataFrame) -> DataFrame:
+    """``node, comp``: where ``hop`` (``node, to``) leads after ``mapping``."""
+    if mapping is None:
+        return hop.select("node", F.col("to").alias("comp"))
+    moved = hop.select(F.col("node").alias("comp"), "to")
+    return mapping.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+
+
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """``node, comp`` of the undirected graph with edges ``a, b``; ``comp`` is the least node.
+
+    A task contracts ``task_edges`` edges to stars, so a graph with no more is
+    done at once.  A larger one goes through rounds: the tasks contract what they
+    hold; every node points at the neighbour (or itself) that comes first, by id
+    and by a fresh hash in turn (the former ends stars, the latter chains
+    however their ids run); the pointers are followed and the edges contracted to
+    where they lead, until one task can hold them.
     """
-    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    mapping = None
-    while mapping is None or not edges.isEmpty():
-        both = edges.union(edges.select("b", "a")).toDF("node", "near")
-        to = cut(both.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("node", "m").alias("to")))
-        if mapping is None:
-            mapping = to.select("node", F.col("to").alias("comp"))
-        else:
-            hop = to.select(F.col("node").alias("comp"), "to")
-            mapping = cut(mapping.join(hop, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
-        a = to.select(F.col("node").alias("a"), F.col("to").alias("ta"))
-        b = to.select(F.col("node").alias("b"), F.col("to").alias("tb"))
-        edges = cut(
-            edges.join(a, "a")
-            .join(b, "b")
-            .where("ta != tb")
-            .select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b"))
-            .distinct()
-        )
-    return mapping
-
-
-def group(lists: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    plain = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b")
+    edges = cut(plain.distinct())
+    mapping, turn, n = None, 0, edges.count()
+    while n > task_edges:
+        stars = cut(_forest(edges, ceil(n / task_edges)).distinct())
+        both = stars.union(stars.select("b", "a")).toDF("node", "near")
+        nearest = both.groupBy("node").agg(F.min(_order("near", turn)).alias("m"))
+        hop = cut(nearest.select("node", F.least(_order("node", turn), "m")["v"].alias("to")))
+        for _ in range(2):
+            ahead = hop.select(F.col("node").alias("to"), F.col("to").alias("far"))
+            longer = cut(hop.join(ahead, "to").select("node", F.col("far").alias("to")))
+            free(hop)
+            hop = longer
+        old, mapping = mapping, cut(_composed(mapping, hop))
+        a = hop.select(F.col("node").alias("a"), F.col("to").alias("ta"))
+        b = hop.select(F.col("node").alias("b"), F.col("to").alias("tb"))
+        moved = stars.join(a, "a").join(b, "b").where("ta != tb")
+        left = cut(moved.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+        free(edges, stars, hop, old)
+        edges, turn, n = left, turn + 1, left.count()
+    last = cut(_forest(edges, 1))
+    roots = last.select(F.col("a").alias("node"), F.col("a").alias("to")).distinct()
+    out = _composed(mapping, last.select(F.col("b").alias("node"), F.col("a").alias("to")).union(roots))
+    if mapping is not None:
+        least = out.groupBy("comp").agg(F.min("node").alias("least"))
+        out = out.join(least, "comp").select("node", F.col("least").alias("comp"))
+    out = cut(out)
+    free(edges, last, mapping)
+    return out
+
+
+def group(
+    lists: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    threshold: float,
+    refine: Callable[[DataFrame], DataFrame] | None = None,
+    heavy: int = HEAVY,
+) -> DataFrame:
     """``node, comp`` for all nodes with a verified partner.
 
     ``verify`` takes pairs ``a, b`` and returns those that are similar.
+    ``refine`` takes ``node`` and returns ``banded_lists`` of these nodes' whole
+    sets; it replaces the mixed lists of more than ``heavy`` members.
     """
-    stars = cut(verify(star_pairs(lists)).select("a", "b"))
-    rest = verify(cross_pairs(lists, components(stars))).select("a", "b")
-    return components(stars.union(rest))
+    found = cut(verify(star_pairs(lists, threshold)).select("a", "b"))
+    comp = components(found)
+    mixed = cut(mixed_lists(lists, comp))
+    light = mixed
+    if refine is not None:
+        light = mixed.where(F.col("members") <= heavy)
+        nodes = cut(mixed.where(F.col("members") > heavy).select("node").distinct())
+        if not nodes.isEmpty():
+            finer = cut(long_lists(refine(nodes)))
+            more = found.union(verify(star_pairs(finer, threshold)).select("a", "b"))
+            stars = cut(more)
+            free(found, comp)
+            found, comp = stars, components(stars)
+            again = cut(mixed_lists(finer, comp))
+            found = cut(found.union(verify(cross_pairs(again, threshold)).select("a", "b")))
+            free(stars, again, finer)
+        free(nodes)
+    rest = cut(verify(cross_pairs(light, threshold)).select("a", "b"))
+    out = components(found.union(rest))
+    free(found, rest, comp, mixed)
+    return out

@@ -6,11 +6,10 @@ content words apart.  Every anchor may lead.  Navigation and lists hold few
 anchors, so signatures come from running text.  A document is the set of its spots; documents with a
 Jaccard index of ``THRESHOLD`` or more share a fingerprint group.
 
-Sets are partitioned by length: bands grow by ``1 / THRESHOLD``, so similar
-sets lie in one band or in neighbours, and the inverted lists are kept per
-pair of neighbouring bands.  Within a list, pairs are pruned by the prefix
-filter and by the length bound before the sets are intersected; both are
-exact.
+Sets are partitioned by length into bands (``nearsets.BAND``), and inverted
+lists are kept per pair of bands whose sets can be similar, each with a prefix
+as short as these lengths allow.  Within a list, pairs are pruned by length and
+by their positions before the sets are intersected; all these bounds are exact.
 
 Texts without a complete spot are lists, fragments and repeated words.  With
 ``fallback`` such a text is known by its words in order, so it shares
@@ -28,7 +27,6 @@ an empty table gives an empty result; only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpusloom.llm import nearsets
 from corpusloom.llm.minhash import exact_jaccard, node_of
 from corpusloom.llm.textkit import as_long, column, mix64, pieces, slices, word_hashes
-from corpusloom.session import cut
+from corpusloom.session import cut, free
 
 ANCHORS = (
     "the a an is was be to of and der die das und ist ein eine den zu le la les un une est et de des el los las una es y"
@@ -168,17 +166,12 @@ def fingerprints(
 ) -> DataFrame:
     """``doc_id, fingerprint, n_spots, group_id, group_size``: one row a document."""
     # The texts are read three times: that costs less than keeping every set.
-    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(log(1 / threshold) * (1 - 1e-9)))
-    lists = (
-        nearsets.lists_of_entries(entries(docs, chain, distance), threshold)
-        .withColumn("side", F.explode(F.array(band, band + 1)))
-        .select(F.xxhash64("value", "side").alias("value"), "node")
-    )
-    lists = cut(lists)
-    many = lists.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("value")
-    lists = cut(lists.join(many, "value"))
+    every = cut(nearsets.banded_lists(entries(docs, chain, distance), threshold))
+    lists = cut(nearsets.long_lists(every))
+    free(every)
     sets = cut(sets_of(docs, lists.select("node").distinct(), chain, distance))
-    comp = nearsets.group(lists, lambda pairs: _similar(pairs, sets, threshold))
+    comp = nearsets.group(lists, lambda pairs: _similar(pairs, sets, threshold), threshold)
+    free(lists, sets)
     members = cut(
         marks(docs, chain, distance, fallback)
         .distinct()

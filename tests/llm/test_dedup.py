@@ -111,6 +111,64 @@ def test_components_of_long_chains(spark):
     assert {r.comp for r in nearsets.components(edges).collect()} == {0}
 
 
+def test_components_of_a_hashed_chain(spark):
+    n = 20_000
+    names = [int(x) for x in np.random.default_rng(8).permutation(10 * n)[: n + 1]]
+    edges = spark.createDataFrame(list(zip(names, names[1:])), "a long, b long").repartition(16)
+    for most in (2_000, nearsets.TASK_EDGES):
+        got = nearsets.components(edges, most).collect()
+        assert len(got) == n + 1 and {r.comp for r in got} == {min(names)}
+
+
+@pytest.mark.parametrize("most", [40, nearsets.TASK_EDGES])
+def test_components_equal_a_plain_union(spark, most):
+    rng = np.random.default_rng(9)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 600, (350, 2)) if a != b] + [(0, i) for i in range(700, 900)]
+    got = {r.node: r.comp for r in nearsets.components(spark.createDataFrame(edges, "a long, b long").repartition(8), most).collect()}
+    assert got == components({x for e in edges for x in e}, edges)
+    assert nearsets.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def template_family(n, seed=3):
+    """Texts that share 40 of 60 shingles each: Jaccard index 0.5 of any two."""
+    rng = random.Random(seed)
+    common = " ".join(f"t{k}" for k in range(42))
+    return [(i, common + " " + " ".join(f"u{rng.getrandbits(60)}" for _ in range(20))) for i in range(n)]
+
+
+def test_minhash_large_family_below_the_threshold(spark):
+    """20,000 texts of one template are not compared pair by pair."""
+    rows = template_family(20_000) + [(20_000 + i, t) for i, (_, t) in enumerate(template_family(20, seed=3))]
+    got = minhash.near_groups(docs(spark, [(i, t, "en", "w") for i, t in rows]).repartition(8)).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.group_id for r in got} == {i: i if i < 20_000 else i - 20_000 for i, _ in rows}
+
+
+def test_spotsigs_large_family_below_the_threshold(spark):
+    rng = random.Random(4)
+    spot = lambda: "the " + " ".join(f"u{rng.getrandbits(60)}" for _ in range(3))
+    common = " ".join(f"the a{k} b{k} c{k}" for k in range(40))
+    rows = [(i, common + " " + " ".join(spot() for _ in range(20))) for i in range(20_000)]
+    got = spotsigs.fingerprints(docs(spark, [(i, t, "en", "w") for i, t in rows]).repartition(8)).collect()
+    assert len(got) == len(rows) and all(r.group_id == r.doc_id for r in got)
+
+
+@pytest.mark.parametrize("heavy", [1, 4, 10**9])
+def test_minhash_other_ways_give_the_same(spark, heavy):
+    """Keys joined by shuffle instead of broadcast, and sketch lists replaced by lists of whole sets."""
+    rows = planted(5) + [(10_000 + i, t) for i, t in template_family(30)]
+    d = docs(spark, [(i, t, "en", "w") for i, t in rows])
+    got = {r.doc_id: r.group_id for r in minhash.near_groups(d, broadcast_keys=0, heavy=heavy).collect()}
+    assert got == groups_by_brute_force(rows, shingles, minhash.THRESHOLD)
+
+
+def test_minhash_chain_of_near_copies(spark):
+    """Each text is near the next one only; all are one group."""
+    rows = [(i, " ".join(f"w{k}" for k in range(5 * i, 5 * i + 40))) for i in range(300)]
+    got = minhash.near_groups(docs(spark, [(i, t, "en", "w") for i, t in rows])).collect()
+    assert {r.group_id for r in got} == {0} and sum(r.keep for r in got) == 1
+
+
 def test_spotsigs_brute_force(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     rows = [(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()]
