@@ -54,7 +54,8 @@ def git_context(spark: SparkSession, root: str, cfg: project.ProjectConfig) -> d
 
 def analyse(spark: SparkSession, root: str, cfg: project.ProjectConfig) -> analysis.Analysis:
     files = scan.scan(spark, root, cfg.scan(root)).select("path", "src")
-    names = [r.name for r in aliases.bare_names(files).collect()] + aliases.package_names(root)
+    packages = spark.createDataFrame([(x,) for x in aliases.package_names(root)], "name string")
+    names = aliases.bare_names(files).unionByName(packages)
     return analysis.analyse(files, cfg.rules, aliases.import_aliases(root), names, cfg.security_enabled)
 
 

@@ -193,6 +193,14 @@ SECRETS: list[tuple[str, str]] = [
 ]
 #: RE2 has no look-around; on single lines this is the same test.
 SECRET_RE2 = {"AWS access key": "(?:^|[^0-9A-Z])AKIA[A-Z0-9]{16}(?:$|[^0-9A-Z])"}
+#: A file with a finding of a label holds one of these, in lower case.
+SECRET_HINTS = {k: v.split() for k, v in {
+    "AWS access key": "akia", "AWS secret key": "aws", "GitHub token": "ghp_ github_pat_", "GitLab token": "glpat-",
+    "Private key header": "private", "Stripe secret key": "sk_", "Stripe publishable": "pk_", "Slack token": "xox",
+    "Twilio account SID": "ac", "Twilio auth token": "twilio", "JWT token": "eyj", "DB connection string": "://",
+    "Hardcoded password": "auth_token api secret pwd passwd password", "Google API key": "aiza", "Heroku API key": "heroku",
+    "SendGrid API key": "sg.", "npm auth token": "_authtoken",
+}.items()}
 SECRET_SKIP_SUFFIXES = sorted(
     f".{x}"
     for x in "7z bmp bz2 doc docx eot flac gif gz ico jpeg jpg lock mp3 mp4 ogg pdf png sum svg tar ttf wav webp woff woff2 xls xlsx xz zip".split()

@@ -81,12 +81,34 @@ def any_glob(text: Column, patterns: list[str]) -> Column:
     return text.rlike("(?s)^(?:" + "|".join(map(glob_regex, patterns)) + ")$")
 
 
-def map_literal(pairs: list[tuple[str, str]]) -> Column:
-    """First-wins literal map."""
-    seen: dict[str, str] = {}
+def quoted(x: str) -> str:
+    """SQL string literal."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_array(xs: list[str]) -> str:
+    return "array(" + ", ".join(map(quoted, xs)) + ")" if xs else "cast(array() as array<string>)"
+
+
+def sql_map(pairs: list[tuple]) -> str:
+    """First-wins literal map of strings to strings or numbers; built as SQL, as a call for each entry is slow."""
+    seen: dict = {}
     for k, v in pairs:
         seen.setdefault(k, v)
-    return F.create_map(*[F.lit(x) for kv in seen.items() for x in kv])
+    return "map(" + ", ".join(f"{quoted(k)}, {quoted(v) if isinstance(v, str) else repr(v)}" for k, v in seen.items()) + ")"
+
+
+def sql_dirs(path: str = "path") -> str:
+    return f"slice(split({path}, '/'), 1, size(split({path}, '/')) - 1)"
+
+
+def sql_tokens(text: str) -> str:
+    return f"filter(split(lower({text}), '[^a-zA-Z0-9]+'), t -> t != '')"
+
+
+def map_literal(pairs: list[tuple]) -> Column:
+    """First-wins literal map."""
+    return F.expr(sql_map(pairs))
 
 
 def half_even(x: Column, digits: int = 0) -> Column:

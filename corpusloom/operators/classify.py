@@ -9,70 +9,63 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.functions import rules, text as X
 from corpusloom.functions.rules import RuleConfig
 
-TYPED = "struct<value:string,confidence:double>"
-
-
-def _typed(value: str, confidence: float) -> Column:
-    return F.struct(F.lit(value).alias("value"), F.lit(float(confidence)).alias("confidence"))
-
-
 def entrypoint(main_guard: Column, listens: Column) -> Column:
-    low = F.transform(X.dirs("path"), F.lower)
-    return (
-        F.lower(X.name("path")).isin(rules.ENTRY_NAMES)
-        | F.arrays_overlap(low, F.array(*map(F.lit, rules.ENTRY_DIRS)))
-        | main_guard
-        | listens
+    named = F.expr(
+        f"array_contains({X.sql_array(rules.ENTRY_NAMES)}, lower(element_at(split(path, '/'), -1)))"
+        f" or arrays_overlap(transform({X.sql_dirs()}, d -> lower(d)), {X.sql_array(rules.ENTRY_DIRS)})"
     )
+    return named | main_guard | listens
+
+
+def _types(rows: list[tuple[str, str, float]]) -> str:
+    """SQL array of ``word, value, confidence``."""
+    return "array(" + ", ".join(
+        f"named_struct('word', {X.quoted(w)}, 'value', {X.quoted(t)}, 'confidence', {float(c)!r}D)" for w, t, c in rows
+    ) + ")"
+
+
+def file_type(config: RuleConfig = RuleConfig()) -> Column:
+    """First matching rule: directories, stem, suffixes, exact names, code (by ``entrypoint``), module."""
+    segments = [*config.segment_rules, *((w, t, 0.9) for w, t in rules.SEGMENT_RULES)]
+    names = [*config.name_rules, *((w, t, 0.75) for w, t in rules.NAME_RULES)]
+    suffixes = [(s, *v) for s, v in config.suffix_rules.items()] + [(x, t, c) for xs, t, c in rules.SUFFIX_TYPES for x in xs]
+    exact = [(s, *v) for s, v in config.exact_name_rules.items()] + [(x, t, c) for xs, t, c in rules.EXACT_TYPES for x in xs]
+    name = "element_at(split(path, '/'), -1)"
+    sfx = f"lower(regexp_extract({name}, '^.+(\\\\.[^.]+)$', 1))"
+    stem = f"lower(regexp_replace({name}, '(?<=.)\\\\.[^.]+$', ''))"
+    code = f"array_contains({X.sql_array(['.py', *rules.JS_SUFFIXES])}, {sfx})"
+    first = lambda rows, test: f"get(filter({_types(rows)}, r -> {test}), 0)"
+    found = [
+        first(segments, f"array_contains(transform({X.sql_dirs()}, d -> lower(d)), r.word)"),
+        first(names, f"contains({stem}, r.word)"),
+        first(suffixes, f"r.word = {sfx}"),
+        first(exact, f"r.word = {name}"),
+        f"case when {code} and entrypoint then {_types([('', 'entrypoint', 0.8)])}[0] when {code} then {_types([('', 'module', 0.55)])}[0]"
+        f" else {_types([('', 'module', 0.5)])}[0] end",
+    ]
+    return F.expr(f"coalesce({', '.join(found)})")
 
 
-def file_type(entry: Column, config: RuleConfig = RuleConfig()) -> Column:
-    """First matching rule: directories, stem, suffixes, exact names, code, module."""
-    low = F.transform(X.dirs("path"), F.lower)
-    stem, sfx, name = F.lower(X.stem("path")), F.lower(X.suffix("path")), X.name("path")
-    arms = [
-        F.when(F.array_contains(low, w), _typed(t, c))
-        for w, t, c in [*config.segment_rules, *((w, t, 0.9) for w, t in rules.SEGMENT_RULES)]
-    ]
-    arms += [
-        F.when(stem.contains(w), _typed(t, c))
-        for w, t, c in [*config.name_rules, *((w, t, 0.75) for w, t in rules.NAME_RULES)]
-    ]
-    arms += [F.when(sfx == s, _typed(*v)) for s, v in config.suffix_rules.items()]
-    arms += [F.when(sfx.isin(s), _typed(t, c)) for s, t, c in rules.SUFFIX_TYPES]
-    arms += [F.when(name == s, _typed(*v)) for s, v in config.exact_name_rules.items()]
-    arms += [F.when(name.isin(s), _typed(t, c)) for s, t, c in rules.EXACT_TYPES]
-    code = sfx.isin([".py", *rules.JS_SUFFIXES])
-    arms += [F.when(code & entry, _typed("entrypoint", 0.8)), F.when(code, _typed("module", 0.55))]
-    return F.coalesce(*arms, _typed("module", 0.5))
+def points() -> Column:
+    """``array<struct<domain, points>>``: what speaks for which domain, in order of appearance."""
+    typed = "array<struct<domain:string,points:double>>"
 
+    def hits(*sources: tuple[str, float]) -> str:
+        words = ", ".join(f"transform({tokens}, t -> struct(t as t, {w!r}D as w))" for tokens, w in sources)
+        found = f"transform(concat({words}), x -> struct(element_at({X.sql_map(rules.DOMAIN_KEYWORDS)}, x.t) as domain, x.w as points))"
+        return f"cast(filter({found}, x -> x.domain is not null) as {typed})"
 
-def _keyword_hits(tokens: Column, weight: float) -> Column:
-    lookup = X.map_literal(rules.DOMAIN_KEYWORDS)
-    hits = F.filter(F.transform(tokens, lambda t: F.element_at(lookup, t)), lambda d: d.isNotNull())
-    return F.transform(hits, lambda d: F.struct(d.alias("domain"), F.lit(float(weight)).alias("points")))
+    of = lambda names: f"flatten(transform(concat({names}), n -> {X.sql_tokens('n')}))"
+    content = f"cast(transform(content_domains, d -> struct(d as domain, 1.0D as points)) as {typed})"
+    rest = hits((of("external, internal"), 2.5), (of("functions, classes, exports"), 1.5), (X.sql_tokens("coalesce(module_doc, '')"), 1.2))
+    return F.expr(f"concat({hits((X.sql_tokens('path'), 2.0))}, {content}, {rest})")
 
 
 def evidence() -> Column:
-    """``array<struct<domain, score>>`` in order of first appearance; ties later go to that order."""
-    every = F.flatten(F.transform(F.concat("external", "internal"), X.tokens))
-    symbols = F.flatten(F.transform(F.concat("functions", "classes", "exports"), X.tokens))
-    points = F.concat(
-        _keyword_hits(X.tokens("path"), 2.0),
-        F.transform("content_domains", lambda d: F.struct(d.alias("domain"), F.lit(1.0).alias("points"))),
-        _keyword_hits(every, 2.5),
-        _keyword_hits(symbols, 1.5),
-        _keyword_hits(X.tokens(F.coalesce("module_doc", F.lit(""))), 1.2),
-    )
-    domains = F.array_distinct(F.transform(points, lambda p: p["domain"]))
-    return F.transform(
-        domains,
-        lambda d: F.struct(
-            d.alias("domain"),
-            F.aggregate(
-                F.filter(points, lambda p: p["domain"] == d), F.lit(0.0), lambda a, p: a + p["points"]
-            ).alias("score"),
-        ),
+    """``array<struct<domain, score>>`` of ``points``, in order of first appearance; ties later go to that order."""
+    return F.expr(
+        "transform(array_distinct(points.domain), d -> struct(d as domain,"
+        " aggregate(filter(points, p -> p.domain = d), 0.0D, (a, p) -> a + p.points) as score))"
     )
 
 
@@ -101,30 +94,28 @@ def domain_pick(ev: Column, config: RuleConfig = RuleConfig()) -> Column:
 
 def layer(ftype: Column) -> Column:
     first = X.map_literal(rules.LAYERS)
-    words = X.tokens("path")
-    arms = [F.when(F.array_contains(words, w), F.lit(v)) for w, v in rules.LAYERS]
+    rows = "array(" + ", ".join(f"struct({X.quoted(w)} as w, {X.quoted(v)} as v)" for w, v in rules.LAYERS) + ")"
+    by_path = F.expr(f"get(filter({rows}, r -> array_contains({X.sql_tokens('path')}, r.w)), 0).v")
     return (
         F.when(ftype == "config", F.lit("infrastructure"))
         .when(ftype.isin("docs", "asset", "template"), F.lit("unknown"))
-        .otherwise(F.coalesce(F.element_at(first, ftype), *arms, F.lit("unknown")))
+        .otherwise(F.coalesce(F.element_at(first, ftype), by_path, F.lit("unknown")))
     )
 
 
 def criticality_signals(ftype: Column, domain: Column, entry: Column, warnings: Column) -> dict[str, Column]:
     """Signals by name; null where one does not apply."""
-    baseline = F.coalesce(
-        F.element_at(F.create_map(*[F.lit(x) for kv in rules.BASELINE.items() for x in kv]), ftype), F.lit(rules.BASELINE_OTHER)
-    )
-    deps = F.flatten(F.transform(F.concat("external", "internal"), X.tokens))
+    baseline = F.coalesce(F.element_at(X.map_literal(list(rules.BASELINE.items())).cast("map<string,double>"), ftype), F.lit(rules.BASELINE_OTHER))
+    deps = f"flatten(transform(concat(external, internal), n -> {X.sql_tokens('n')}))"
 
-    def overlap(a: Column, words: list[str]) -> Column:
-        return F.arrays_overlap(a, F.array(*map(F.lit, words)))
+    def overlap(tokens: str, words: list[str]) -> Column:
+        return F.expr(f"arrays_overlap({tokens}, {X.sql_array(words)})")
 
     return {
         "type_baseline": baseline,
         "entrypoint_boost": F.when(entry, 30.0),
         "critical_domain_boost": F.when(domain.isin(rules.CRITICAL_DOMAINS), 20.0),
-        "path_risk_boost": F.when(overlap(X.tokens("path"), rules.RISKY_PATH), 14.0),
+        "path_risk_boost": F.when(overlap(X.sql_tokens("path"), rules.RISKY_PATH), 14.0),
         "dependency_risk_boost": F.when(overlap(deps, rules.RISKY_DEPENDENCY), 12.0),
         "secret_warning_boost": F.when(F.exists(warnings, lambda w: F.lower(w).contains("secret")), 10.0),
     }
@@ -150,16 +141,11 @@ def criticality(ftype: Column, score: Column, config: RuleConfig = RuleConfig())
     return F.coalesce(*arms, word)
 
 
-def import_entropy(internal: Column) -> Column:
-    """Shannon entropy in bits of the imports' first path segments."""
-    heads = F.transform(internal, lambda x: F.split(x, "/")[0])
-    n = F.size(heads).cast("double")
-
-    def term(h: Column) -> Column:
-        p = F.size(F.filter(heads, lambda y: y == h)) / n
-        return -p * F.log2(p)
-
-    return F.when(n > 0, F.aggregate(F.array_distinct(heads), F.lit(0.0), lambda a, h: a + term(h))).otherwise(0.0)
+def import_entropy() -> Column:
+    """Shannon entropy in bits of the first path segments of ``internal``."""
+    heads = "transform(internal, x -> split(x, '/')[0])"
+    shares = f"transform(array_distinct({heads}), h -> size(filter({heads}, y -> y = h)) / cast(size(internal) as double))"
+    return F.expr(f"case when size(internal) > 0 then aggregate({shares}, 0.0D, (a, p) -> a + -p * log2(p)) else 0.0D end")
 
 
 def complexity_signals() -> dict[str, Column]:
@@ -172,7 +158,7 @@ def complexity_signals() -> dict[str, Column]:
         "logical_ops": d(F.col("logical_ops") * 4),
         "nesting": d(F.col("nesting") * 18),
         "long_lines": d(F.col("long_lines") * 2),
-        "entropy": import_entropy(F.col("internal")) * 10,
+        "entropy": import_entropy() * 10,
     }
 
 
@@ -180,19 +166,17 @@ def complexity_label(score: Column) -> Column:
     return F.when(score > 1300, "extreme").when(score > 700, "high").when(score > 280, "medium").otherwise("low")
 
 
-def hint_keywords(ftype: Column, domain: Column) -> Column:
-    heads = F.transform(
-        F.slice(F.concat("external", "internal"), 1, 12),
-        lambda d: F.substring_index(F.substring_index(F.regexp_replace(d, "^@+", ""), "/", 1), ".", 1),
-    )
-    heads = F.transform(F.filter(heads, lambda h: F.length(h) > 1), F.lower)
-    words = F.flatten(F.transform(F.concat(F.slice("functions", 1, 8), F.slice("classes", 1, 5)), X.camel_words))
-    words = F.filter(words, lambda w: F.length(w) > 3)
-    segs = F.transform(X.dirs("path"), lambda p: F.regexp_replace(p, r"^[./]+|[./]+$", ""))
-    segs = F.transform(
-        F.filter(segs, lambda s: (F.length(s) > 2) & ~s.isin("src", "lib", "app")), F.lower
+def hint_keywords(ftype: str = "file_type", domain: str = "domain") -> Column:
+    heads = "transform(slice(concat(external, internal), 1, 12), d -> substring_index(substring_index(regexp_replace(d, '^@+', ''), '/', 1), '.', 1))"
+    camel = "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+    words = f"flatten(transform(concat(slice(functions, 1, 8), slice(classes, 1, 5)), s -> split(lower(regexp_replace(s, '{camel}', '_')), '_')))"
+    places = f"transform({X.sql_dirs()}, p -> regexp_replace(p, '^[./]+|[./]+$', ''))"
+    return F.expr(
+        f"array_sort(array_distinct(concat(array({domain}, {ftype}),"
+        f" transform(filter({heads}, h -> length(h) > 1), h -> lower(h)),"
+        f" filter({words}, w -> length(w) > 3),"
+        f" transform(filter({places}, p -> length(p) > 2 and p not in ('src', 'lib', 'app')), p -> lower(p)), probes)))"
     )
-    return F.array_sort(F.array_distinct(F.concat(F.array(domain, ftype), heads, words, segs, F.col("probes"))))
 
 
 def description(ftype: Column, domain: Column) -> Column:
@@ -208,7 +192,7 @@ def classify(records: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame
     out = records.withColumn("warnings", F.transform("secrets", _warning)).withColumn(
         "entrypoint", entrypoint(F.col("main_guard"), F.col("listens"))
     )
-    out = out.withColumn("ft", file_type(F.col("entrypoint"), config)).withColumn("evidence", evidence())
+    out = out.withColumns({"ft": file_type(config), "points": points()}).withColumn("evidence", evidence())
     out = out.withColumn("dom", domain_pick(F.col("evidence"), config))
     ftype, dom = F.col("ft.value"), F.col("dom.value")
     crit = criticality_signals(ftype, dom, F.col("entrypoint"), F.col("warnings"))
@@ -231,10 +215,10 @@ def classify(records: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame
         {
             "criticality": criticality(F.col("file_type"), F.col("criticality_score"), config),
             "complexity_label": complexity_label(F.col("complexity_score")),
-            "keywords": hint_keywords(F.col("file_type"), F.col("domain")),
+            "keywords": hint_keywords(),
             "description": description(F.col("file_type"), F.col("domain")),
         }
-    ).drop("ft", "dom")
+    ).drop("ft", "dom", "points")
 
 
 def _warning(x: Column) -> Column:

@@ -1,6 +1,6 @@
 """Import resolution as one equi-join against a typed lookup table.
 
-Every specifier expands to an ordered list of candidate keys; the table maps
+Every distinct specifier expands to an ordered list of candidate keys; the table maps
 ``(kind, key)`` to a file.  Kinds: ``f`` the file itself, ``d`` a directory's
 index file, ``k`` any alias of a file (path, name, stem, parent/stem, ...).
 The first candidate that has a row wins (``min_by``).  Everything is resolved
@@ -9,7 +9,7 @@ against the scanned files, never against the disk.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions import text as X
 
@@ -23,140 +23,121 @@ STDLIB = sorted(
 )
 
 
+CANDIDATES = "array<struct<rank:int,kind:string,key:string>>"
+
+
 def file_index(files: DataFrame, root: str = "/repo") -> DataFrame:
     """``key, rel``: all lookup keys of a file; of files that share a key the greatest path wins."""
-    p = X.parts("path")
-    parent = F.element_at(p, -2)
-    full = F.concat(F.lit(root + "/"), F.col("path"))
-    keys = F.array(
-        F.col("path"),
-        X.name("path"),
-        X.stem("path"),
-        F.concat_ws("/", F.when(F.size(p) > 1, parent).otherwise(F.lit(root.rsplit("/", 1)[-1])), X.stem("path")),
-        F.regexp_replace(full, "/[^/]*$", ""),
-        F.concat_ws("/", F.when(F.size(p) > 1, parent).otherwise(F.lit(root.rsplit("/", 1)[-1])), X.name("path")),
-    )
-    return (
-        files.select("path", F.explode(F.array_distinct(keys)).alias("key"))
-        .groupBy("key")
-        .agg(F.max("path").alias("rel"))
-    )
+    name, size = "element_at(split(path, '/'), -1)", "size(split(path, '/'))"
+    stem = f"regexp_replace({name}, '(?<=.)\\\\.[^.]+$', '')"
+    parent = f"case when {size} > 1 then element_at(split(path, '/'), -2) else {X.quoted(root.rsplit('/', 1)[-1])} end"
+    folder = f"regexp_replace(concat({X.quoted(root + '/')}, path), '/[^/]*$', '')"
+    keys = f"array(path, {name}, {stem}, concat_ws('/', {parent}, {stem}), {folder}, concat_ws('/', {parent}, {name}))"
+    return files.selectExpr("path", f"explode(array_distinct({keys})) as key").groupBy("key").agg(F.max("path").alias("rel"))
 
 
 def lookup_table(files: DataFrame, index: DataFrame) -> DataFrame:
     """``kind, key, rel`` for the three kinds of candidates."""
     own = files.select(F.lit("f").alias("kind"), F.col("path").alias("key"), F.col("path").alias("rel"))
     alias = index.select(F.lit("k").alias("kind"), "key", "rel")
-    d = X.dirs("path")
-    folders = files.select(
-        F.explode(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.size(d), F.lit(1))), lambda n: F.concat_ws("/", F.slice(d, 1, n)))
-        ).alias("dir")
-    ).where("dir != ''").distinct()
-    tries = []
-    for name in INDEX_FILES:
-        tries += [F.concat(F.col("dir"), F.lit("/" + name)), F.lit(name.rsplit(".", 1)[0])]
-    tries.append(X.name("dir"))
-    probes = folders.select("dir", F.posexplode(F.array(*tries)).alias("pos", "key"))
+    above = f"transform(sequence(1, greatest(size(split(path, '/')) - 1, 1)), n -> concat_ws('/', slice({X.sql_dirs()}, 1, n)))"
+    folders = files.selectExpr(f"explode({above}) as dir").where("dir != ''").distinct()
+    tries = ", ".join(f"concat(dir, '/{x}'), '{x.rsplit('.', 1)[0]}'" for x in INDEX_FILES) + ", element_at(split(dir, '/'), -1)"
+    probes = folders.selectExpr("dir", f"posexplode(array({tries})) as (pos, key)")
     hit = probes.join(index, "key").groupBy("dir").agg(F.min_by("rel", "pos").alias("rel"))
     return own.unionByName(alias).unionByName(hit.select(F.lit("d").alias("kind"), F.col("dir").alias("key"), "rel"))
 
 
-def normal_path(path: Column) -> Column:
-    """Path with ``.`` and ``..`` resolved; null if it leaves the root."""
-    start = F.array().cast("array<string>")
+def normal_path(path: str) -> str:
+    """SQL of a path with ``.`` and ``..`` resolved; null if it leaves the root."""
+    up = "case when size(acc) > 0 then slice(acc, 1, greatest(size(acc) - 1, 0)) end"
+    step = f"case when p = '' or p = '.' then acc when p = '..' then {up} else array_append(acc, p) end"
+    return f"aggregate(split({path}, '/'), cast(array() as array<string>), (acc, p) -> {step}, a -> concat_ws('/', a))"
 
-    def step(acc: Column, p: Column) -> Column:
-        up = F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
-        return F.when((p == "") | (p == "."), acc).when(p == "..", up).otherwise(F.array_append(acc, p))
 
-    return F.aggregate(F.split(path, "/"), start, step, lambda a: F.concat_ws("/", a))
+def expansion(base: str, first: int) -> str:
+    """SQL array of candidates ``rank, kind, key`` of one path without extension knowledge, ranked from ``first``.
 
+    A key that comes up again under the same kind is left out, as its first rank decides.
+    """
+    name = f"element_at(split({base}, '/'), -1)"
+    bare = f"regexp_replace({base}, '(?<=[^/])\\\\.[^./]+$', '')"
+    stem = f"regexp_replace({name}, '(?<=.)\\\\.[^.]+$', '')"
+    out = [("f", base), ("d", base), ("k", f"concat({bare}, '{EXTENSIONS[0]}')"), ("k", stem)]
+    out += [("k", f"concat({bare}, '{x}')") for x in EXTENSIONS[1:]] + [("k", name)]
+    items = ", ".join(f"struct({first + i} as rank, '{k}' as kind, {c} as key)" for i, (k, c) in enumerate(out))
+    none = f"cast(array() as {CANDIDATES})"
+    return f"case when {base} is null or {base} = '' then {none} else array({items}) end"
 
-def with_suffix(path: Column, suffix: str) -> Column:
-    return F.concat(F.regexp_replace(path, r"(?<=[^/])\.[^./]+$", ""), F.lit(suffix))
 
-
-def expansion(base: Column) -> Column:
-    """Candidate ``struct<kind, key>`` of one path without extension knowledge, in order."""
-    stem = F.regexp_replace(X.name(base), r"(?<=.)\.[^.]+$", "")
-    out = [("f", base), ("d", base)]
-    for x in EXTENSIONS:
-        out += [("k", with_suffix(base, x)), ("k", stem)]
-    out.append(("k", X.name(base)))
-    items = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("key")) for k, c in out])
-    return F.when(base.isNull() | (base == ""), F.slice(items, 1, 0)).otherwise(items)
-
-
-def alias_bases(spec: Column, aliases: list[tuple[str, str]]) -> list[Column]:
-    """Target path for each alias that prefixes the specifier, longest alias first."""
-    out = []
-    for alias, target in sorted(aliases, key=lambda x: (-len(x[0]), x[0])):
-        rest = F.regexp_replace(F.substr(spec, F.lit(len(alias) + 1)), "^/+", "")
-        out.append(
-            F.when((spec == alias) | spec.startswith(alias + "/"), normal_path(F.concat(F.lit(target + "/"), rest)))
-        )
-    return out
+def alias_base(alias: str, target: str) -> str:
+    """SQL of the target path if the alias prefixes the specifier, else null."""
+    q = X.quoted
+    rest = f"regexp_replace(substr(s, {len(alias) + 1}), '^/+', '')"
+    return f"case when s = {q(alias)} or startswith(s, {q(alias + '/')}) then {normal_path(f'concat({q(target + chr(47))}, {rest})')} end"
 
 
 def candidates(
-    specs: DataFrame, aliases: list[tuple[str, str]] | None = None, bare_names: list[str] | None = None
+    specs: DataFrame, aliases: list[tuple[str, str]] | None = None, bare_names: DataFrame | None = None
 ) -> DataFrame:
-    """``path, pos, spec, base, rank, kind, key``; rank 0 is a probe that voids ranks of the head attempt (1000s)."""
-    spec = F.regexp_replace(F.trim("spec"), "^[\"']+|[\"']+$", "")
-    is_py = F.lower(X.suffix("path")) == ".py"
-    folder = F.array_join(X.dirs("path"), "/")
-    dots = F.length(spec) - F.length(F.regexp_replace(spec, r"^\.+", ""))
-    rest = F.replace(F.regexp_replace(spec, r"^\.+", ""), F.lit("."), F.lit("/"))
-    ups = F.repeat(F.lit("/.."), F.greatest(dots - 1, F.lit(0)).cast("int"))
-    relative = F.when(is_py, normal_path(F.concat(folder, ups, F.lit("/"), rest))).otherwise(
-        normal_path(F.concat(folder, F.lit("/"), spec))
-    )
-    dotted = spec.startswith(".")
-    head = F.split(F.split(spec, "/")[0], r"\.")[0]
-    none = F.array().cast("array<struct<kind:string,key:string>>")
-
-    def ranked(items: Column, first: int) -> Column:
-        return F.transform(
-            F.coalesce(items, none),
-            lambda x, i: F.struct((i + first).alias("rank"), x["kind"].alias("kind"), x["key"].alias("key")),
-        )
-
-    groups = [ranked(expansion(b), 10 + 50 * i) for i, b in enumerate(alias_bases(spec, aliases or []))]
-    far = F.lit(None).cast("string")
-    bare_head = F.when(~dotted & ~head.isin(bare_names or [""]), head)
-    probe = F.when(bare_head.isNotNull(), F.array(F.struct(F.lit("k").alias("kind"), head.alias("key"))))
-    groups += [
-        ranked(probe, 0),
-        ranked(expansion(F.when(dotted, relative)), 5000),
-        ranked(expansion(F.coalesce(bare_head, far)), 10000),
-        ranked(expansion(F.when(~dotted & is_py, F.replace(spec, F.lit("."), F.lit("/")))), 20000),
-        ranked(expansion(F.when(~dotted, spec)), 30000),
-    ]
-    usable = (spec != "") & ~spec.startswith("node:")
-    return specs.where(usable).select("path", "pos", F.explode(F.concat(*groups)).alias("c")).select(
-        "path", "pos", "c.rank", "c.kind", "c.key"
+    """``is_py, folder, s, rank, kind, key`` of distinct ``is_py, folder, s`` (the bare specifier).
+
+    A head among ``bare_names`` (``name``) is not tried.
+
+    Ranks grow with the attempt: aliases (longest first), relative path, head
+    (10000s), dotted path, path.  Rank 0 is a probe that voids the head attempt.
+    """
+    aliases = sorted(aliases or [], key=lambda x: (-len(x[0]), x[0]))
+    head = "split(split(s, '/')[0], '\\\\.')[0]"
+    dots = "length(s) - length(regexp_replace(s, '^\\\\.+', ''))"
+    rest = "replace(regexp_replace(s, '^\\\\.+', ''), '.', '/')"
+    above = f"concat(folder, repeat('/..', cast(greatest({dots} - 1, 0) as int)), '/', {rest})"
+    beside = "concat(folder, '/', s)"
+    bases = {
+        **{f"alias_{i}": alias_base(a, t) for i, (a, t) in enumerate(aliases)},
+        "relative": f"case when not startswith(s, '.') then null when is_py then "
+        f"{normal_path(above)} else {normal_path(beside)} end",
+        "head": f"case when not startswith(s, '.') then {head} end",
+        "dotted": "case when not startswith(s, '.') and is_py then replace(s, '.', '/') end",
+        "plain": "case when not startswith(s, '.') then s end",
+    }
+    first = {**{f"alias_{i}": 10 + 50 * i for i in range(len(aliases))}, "relative": 5000, "head": 10000, "dotted": 20000, "plain": 30000}
+    probe = f"case when head is not null then array(struct(0 as rank, 'k' as kind, head as key)) else cast(array() as {CANDIDATES}) end"
+    based = specs.where("s != '' and not startswith(s, 'node:')").selectExpr(
+        "is_py", "folder", "s", *(f"{sql} as {name}" for name, sql in bases.items())
     )
+    if bare_names is not None:
+        names = bare_names.select(F.col("name").alias("head"), F.lit(True).alias("bare")).distinct()
+        based = based.join(names, "head", "left").withColumn("head", F.expr("case when bare is null then head end"))
+    every = ", ".join([probe, *(expansion(name, first[name]) for name in bases)])
+    return based.selectExpr("is_py", "folder", "s", f"inline(concat({every}))")
 
 
 def resolve(
     specs: DataFrame,
     files: DataFrame,
     aliases: list[tuple[str, str]] | None = None,
-    bare_names: list[str] | None = None,
+    bare_names: DataFrame | None = None,
     root: str = "/repo",
 ) -> DataFrame:
-    """``specs`` (path, pos, spec, base) with ``rel``, null where nothing in ``files`` matches."""
+    """``specs`` (path, pos, spec, base) with ``rel``, null where nothing in ``files`` matches.
+
+    What a specifier means depends on the language and, if it is relative, on
+    the folder; so each such combination is resolved once, however many files
+    import it.
+    """
     table = lookup_table(files.select("path"), file_index(files.select("path"), root))
-    hits = candidates(specs, aliases, bare_names).join(table, ["kind", "key"])
-    head = (F.col("rank") >= 10000) & (F.col("rank") < 20000)
-    best = hits.groupBy("path", "pos").agg(
-        F.max(F.col("rank") == 0).alias("known"),
-        F.min_by("rel", F.when(F.col("rank") > 0, F.col("rank"))).alias("any_rel"),
-        F.min_by("rel", F.when((F.col("rank") > 0) & ~head, F.col("rank"))).alias("rest_rel"),
+    bare = "regexp_replace(trim(spec), '^[\"\\']+|[\"\\']+$', '')"
+    folder = f"case when startswith(s, '.') then array_join({X.sql_dirs()}, '/') else '' end"
+    keyed = specs.withColumns({"is_py": F.lower(X.suffix("path")) == ".py", "s": F.expr(bare)}).withColumn("folder", F.expr(folder))
+    hits = candidates(keyed.select("is_py", "folder", "s").distinct(), aliases, bare_names).join(table, ["kind", "key"])
+    best = hits.groupBy("is_py", "folder", "s").agg(
+        F.expr("max(rank = 0) as known"),
+        F.expr("min_by(rel, case when rank > 0 then rank end) as any_rel"),
+        F.expr("min_by(rel, case when rank > 0 and not (rank >= 10000 and rank < 20000) then rank end) as rest_rel"),
     )
-    chosen = F.when(F.col("known"), F.col("rest_rel")).otherwise(F.col("any_rel"))
-    return specs.join(best.select("path", "pos", chosen.alias("rel")), ["path", "pos"], "left")
+    chosen = best.selectExpr("is_py", "folder", "s", "case when known then rest_rel else any_rel end as rel")
+    return keyed.join(chosen, ["is_py", "folder", "s"], "left").select(*specs.columns, "rel")
 
 
 def import_specs(features: DataFrame) -> DataFrame:

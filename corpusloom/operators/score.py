@@ -11,7 +11,7 @@ ORPHAN_WARNING = "Orphan file - no file imports it and it's not an entrypoint"
 
 
 def lookup(weights: dict[str, float], key: Column, other: float) -> Column:
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), key), F.lit(other))
+    return F.coalesce(F.element_at(X.map_literal(list(weights.items())).cast("map<string,double>"), key), F.lit(other))
 
 
 def refactor_effort() -> Column:

@@ -25,19 +25,18 @@ class Analysis:
 
 
 def records(files: DataFrame, config: RuleConfig = RuleConfig(), aliases=None, bare_names=None, security: bool = True):
-    """Features with dependencies, and the resolved imports."""
+    """Classified features with dependencies, and the resolved imports; both are cut."""
     feats = cut(extract.features(files, security))
     resolved = cut(resolve.resolve(resolve.import_specs(feats), feats.select("path"), aliases, bare_names))
     none = F.array().cast("array<string>")
     joined = feats.join(resolve.dependencies(resolved), "path", "left").withColumns(
         {c: F.coalesce(c, none) for c in ("internal", "external")}
     )
-    return classify.classify(joined, config), resolved
+    return cut(classify.classify(joined, config)), resolved
 
 
-def analyse(files: DataFrame, config: RuleConfig = RuleConfig(), aliases=None, bare_names=None, security: bool = True) -> Analysis:
-    """All per-file and graph columns of ``files`` (``path, src``)."""
-    recs, resolved = records(files, config, aliases, bare_names, security)
+def graded(recs: DataFrame, resolved: DataFrame) -> Analysis:
+    """Graph metrics and scores over the results of ``records``."""
     edges = cut(resolve.edges(resolved))
     nodes = recs.select("path")
     full = (
@@ -48,5 +47,10 @@ def analyse(files: DataFrame, config: RuleConfig = RuleConfig(), aliases=None, b
         .withColumn("is_in_cycle", F.col("scc_id").isNotNull())
     )
     full = full.withColumn("impact_radius", F.when(F.col("fan_out") > 0, F.col("impact_radius")).otherwise(0))
-    full = full.withColumn("refactor_effort", score.refactor_effort()).withColumn("warnings", score.graph_warnings())
+    full = full.withColumns({"refactor_effort": score.refactor_effort(), "warnings": score.graph_warnings()})
     return Analysis(cut(score.contexts(score.with_scores(full))), edges, resolved)
+
+
+def analyse(files: DataFrame, config: RuleConfig = RuleConfig(), aliases=None, bare_names=None, security: bool = True) -> Analysis:
+    """All per-file and graph columns of ``files`` (``path, src``)."""
+    return graded(*records(files, config, aliases, bare_names, security))

@@ -42,12 +42,16 @@ def shared(spark: SparkSession, sf_dir: str, what: str, make: Callable[[], objec
     return _SHARED[key]
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return shared(spark, sf_dir, "records", lambda: analysis.records(corpus(spark, sf_dir).select("path", "src")))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared(spark, sf_dir, "records", lambda: analysis.records(corpus(spark, sf_dir).select("path", "src")))[0]
+    return _parts(spark, sf_dir)[0]
 
 
 def full(spark: SparkSession, sf_dir: str) -> analysis.Analysis:
-    return shared(spark, sf_dir, "full", lambda: analysis.analyse(corpus(spark, sf_dir).select("path", "src")))
+    return shared(spark, sf_dir, "full", lambda: analysis.graded(*_parts(spark, sf_dir)))
 
 
 def joined(c: str, sep: str = "|"):
