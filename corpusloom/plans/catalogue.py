@@ -321,17 +321,19 @@ def subgraph_k(spark, sf_dir):
     return graph.subgraph_edges(a.edges, graph.subgraph_nodes(a.edges, hub(a), 2))
 
 
-_CHAIN = f"""tgt AS (SELECT {_HUB} AS t, (SELECT min(src) FROM hop2 h WHERE dst = {_HUB} AND src <> {_HUB} AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = h.src AND e.dst = h.dst)) AS s)"""
+_CHAIN = """far AS (SELECT src, dst FROM hop2 h WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = h.src AND e.dst = h.dst)),
+tgt AS (SELECT dst AS t, min(src) AS s FROM far JOIN (SELECT dst, count(*) AS c FROM edges GROUP BY dst) USING (dst) GROUP BY dst, c ORDER BY c DESC, dst LIMIT 1)"""
 
 
 @query(Q("", "hop2").rstrip() + f",\n{_CHAIN}\nSELECT s AS source, t AS target, concat(s, '|', (SELECT min(a.dst) FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src = s AND b.dst = t), '|', t) AS chain FROM tgt")
 def dependency_chain(spark, sf_dir):
+    """The path to the file with most dependents of those that some file reaches in two steps, but not in one."""
     a = full(spark, sf_dir)
-    t = hub(a)
-    two = graph.two_hop(a.edges).where((F.col("dst") == t) & (F.col("src") != t)).join(a.edges, ["src", "dst"], "left_anti")
-    s = two.agg(F.min("src")).first()[0]
-    chain = graph.dependency_chain(a.edges, s, t)
-    return spark.createDataFrame([(s, t, "|".join(chain))], "source string, target string, chain string")
+    far = graph.two_hop(a.edges).where("src != dst").join(a.edges, ["src", "dst"], "left_anti")
+    fans = a.edges.groupBy("dst").agg(F.count(F.lit(1)).alias("c"))
+    ends = far.groupBy("dst").agg(F.min("src").alias("src")).join(fans, "dst").orderBy(F.desc("c"), "dst").limit(1).collect()
+    rows = [(e.src, e.dst, "|".join(graph.dependency_chain(a.edges, e.src, e.dst))) for e in ends]
+    return spark.createDataFrame(rows, "source string, target string, chain string")
 
 
 @query(Q("SELECT path FROM gx WHERE orphan", "gx"))
@@ -443,18 +445,16 @@ def volatility(spark, sf_dir):
     return counts.orderBy(F.desc("changes"), "file").offset(2).limit(10)
 
 
-_COMMIT = "concat_ws(chr(31), concat('{h}', CAST(conv_id AS {t})), role, concat(role, '@example.com'), CAST(turn AS {t}), {m})"
-
-
-@query("SELECT left(concat('0123456789ab', CAST(conv_id AS VARCHAR)), 12) AS hash, role AS author, concat(role, '@example.com') AS email, CAST(turn AS VARCHAR) AS date, replace(replace(text, chr(10), ' '), chr(31), ' ') AS message FROM conversations WHERE role IS NOT NULL AND text IS NOT NULL")
+@query("""SELECT left(concat('0123456789ab', CAST(conv_id AS VARCHAR)), 12) AS hash, coalesce(role, '') AS author, concat(role, '@example.com') AS email,
+  coalesce(CAST(turn AS VARCHAR), '') AS date, replace(replace(coalesce(text, ''), chr(10), ' '), chr(31), ' ') AS message FROM conversations""")
 def recent_commits(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where("role is not null and text is not null")
+    """Every turn as a log line; what is null is an empty field."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     line = F.concat_ws(
-        "\x1f", F.concat(F.lit("0123456789ab"), F.col("conv_id").cast("string")), F.col("role"),
-        F.concat(F.col("role"), F.lit("@example.com")), F.col("turn").cast("string"),
-        F.translate("text", "\n\x1f", "  "),
+        "\x1f", F.concat(F.lit("0123456789ab"), text("conv_id")), text("role"), F.concat(text("role"), F.lit("@example.com")),
+        text("turn"), F.translate(text("text"), "\n\x1f", "  "),
     )
-    return gitlog.parse_log(c.select(line.alias("value")))
+    return gitlog.parse_log(table(spark, sf_dir, "conversations").select(line.alias("value")))
 
 
 _SCAN = scan.ScanConfig(exclude_patterns=["report_1*"], include_patterns=["src/*.py", "web/*", "*.ts"])
@@ -496,18 +496,29 @@ def toon_rows(spark, sf_dir):
     return full(spark, sf_dir).files.select("path", F.concat_ws(" ", *cols).alias("row_"))
 
 
-@query()
+_SIGNALS = "[" + ", ".join(f"{{'neg': -abs(s_{c}), 'key': '{c}', 'value': s_{c}}}" for c in _PARTS) + "]"
+
+
+@query(Q(f"""SELECT path, priority_score, round(refactor_effort, 1) AS refactor_effort, blast_radius, domain,
+  array_to_string(list_transform(list_sort(list_filter({_SIGNALS}, lambda x: x.value IS NOT NULL))[1:3], lambda x: printf('%s:%.1f', x.key, x.value)), ', ') AS signals
+  FROM final ORDER BY priority_score DESC, path LIMIT 10"""))
 def markdown_hotspots(spark, sf_dir):
     f = top(full(spark, sf_dir).files, 10)
     return f.select("path", "priority_score", F.round("refactor_effort", 1).alias("refactor_effort"), "blast_radius", "domain", score.top_signals().alias("signals"))
 
 
-@query()
+_CAPS = "concat_ws('; ', CASE WHEN len(functions) > 0 THEN concat('functions: ', array_to_string(functions[1:3], ', ')) END, CASE WHEN len(classes) > 0 THEN concat('classes: ', array_to_string(classes[1:2], ', ')) END)"
+
+
+@query(Q(f"""SELECT path, concat(file_type, ' for ', domain) AS role_hint, concat(upper(criticality[1]), criticality[2:], ' ', file_type, ' for ', chr(39), domain, chr(39), ' domain.',
+  CASE WHEN {_CAPS} <> '' THEN concat(' [', {_CAPS}, ']') ELSE '' END, CASE WHEN n_warnings > 0 THEN printf(' [%d warnings]', n_warnings) ELSE '' END,
+  printf(' Priority: %d/100. Blast radius: %d files. Refactor effort: %.1f.', priority_score, blast_radius, CAST(refactor_effort AS DOUBLE))) AS context FROM final"""))
 def contexts(spark, sf_dir):
+    """The corpus has no module documentation; ``test_documentation_decides`` holds that case."""
     return full(spark, sf_dir).files.select("path", "role_hint", "context")
 
 
-@query()
+@query(Q("SELECT path, array_to_string(functions, '|') AS functions, array_to_string(classes, '|') AS classes, len(specs) AS imports FROM feat WHERE sfx = '.py'", "feat"))
 def ast_symbols(spark, sf_dir):
     r = records(spark, sf_dir).where(F.lower("path").endswith(".py"))
     return r.select("path", joined("functions").alias("functions"), joined("classes").alias("classes"), F.size("specs").alias("imports"))

@@ -144,6 +144,32 @@ def test_tour(result):
     assert "dot pie" in tour.script("demo", steps)
 
 
+def test_documentation_decides(spark):
+    src = {"a/x.py": '"""Says what it does.\n\nMore."""\n', "a/y.ts": "/**\n * @file y\n * Draws it.\n */\nexport const y = 1\n", "a/z.py": "z = 1"}
+    got = {r.path: r for r in analysis.analyse(frame(spark, src)).files.collect()}
+    assert got["a/x.py"].role_hint == "module - Says what it does.\n\nMore." and got["a/x.py"].description == "Says what it does."
+    assert got["a/y.ts"].role_hint == "module - Draws it." and got["a/z.py"].role_hint == "module for core"
+
+
+def test_registered_language(spark):
+    extract.register([".abc"], lambda src: {"functions": src.split(), "specs": ["x"], "bases": ["x"]})
+    try:
+        got = {r.path: r for r in extract.features(frame(spark, {"q.abc": "one two", "q.abd": "one"})).collect()}
+    finally:
+        del extract.PARSERS[".abc"]
+    assert got["q.abc"].functions == ["one", "two"] and got["q.abc"].specs == ["x"] and got["q.abd"].functions == []
+
+
+def test_ast_chunks_hold_every_node(spark):
+    import ast
+
+    src = "".join(f"def f{i}(a):\n    return a + {i}\n\n" for i in range(40)) + "x = 1\n"
+    rows = extract.ast_chunks(frame(spark, {"a.py": src, "b.py": "def (\nline two", "c.txt": "x"}), 30).orderBy("path", "chunk").collect()
+    mine = [r.text for r in rows if r.path == "a.py"]
+    assert len(mine) > 5 and ast.unparse(ast.parse("\n".join(mine))) == ast.unparse(ast.parse(src))
+    assert all(sum(len(ast.unparse(n)) // 4 for n in ast.parse(t).body) <= 30 for t in mine) and [r.text for r in rows if r.path == "b.py"] == ["def (\nline two"]
+
+
 def test_empty_corpus(spark):
     a = analysis.analyse(frame(spark, {"a.py": ""}).limit(0))
     assert a.files.count() == 0 and a.edges.count() == 0
