@@ -13,7 +13,10 @@ character stands for:
    host.tld" and their kin become ``name@host.tld``.
 
 Left out on purpose: "name at host" with an end that is neither a country's
-nor listed; "name at host.tld" after one of ``_PROSE`` ("look at example.com");
+nor listed; "name at host" after one of ``_PROSE`` ("look at example.com",
+"visit us at example dot com"); disguises with more than 8 blanks in a row, hosts
+of more than 10 labels and local parts beyond ``_WINDOW`` characters (addresses
+have 64 at most); numbers of a card's length that fail Luhn's check;
 runs of fewer than five tokens, or three if one is a numeral of two or more
 digits, and such a numeral beside one digit word only ("555-4974, un ..."); runs that repeat one to three digits ("un un un ..."); Spanish
 groups of three parted by dots (thousands); bare numbers not spelled out.
@@ -92,11 +95,17 @@ _NUMERAL = re.compile(r"[0-9]{2,}")
 _MIXED_HINT = re.compile(rf"(?<!\w)(?:[0-9]{{2,}}[\s,.\-]+{_ANY_WORD}(?!\w)|{_ANY_WORD}[\s,.\-]+[0-9]{{2,}})", re.I)
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT_WORD, _DOT_WORD = "(?:at|arroba|ät)", "(?:dot|punkt|punto|point)"
-_AT_B = rf"\s*{_OPEN}\s*(?:{_AT_WORD}|@)\s*{_CLOSE}\s*"
-_DOT_B = rf"\s*{_OPEN}\s*(?:{_DOT_WORD}|\.)\s*{_CLOSE}\s*"
-_AT_PLAIN, _DOT_PLAIN = rf"\s+{_AT_WORD}\s+", rf"\s+{_DOT_WORD}\s+"
-_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+#: Blanks that a disguise may hold in a row.
+_GAP = r"\s{0,8}"
+_AT_MARK = re.compile(rf"{_OPEN}{_GAP}(?:{_AT_WORD}|@){_GAP}{_CLOSE}|@|(?<=\s){_AT_WORD}(?=\s)", re.I)
+_DOT_B = rf"{_GAP}{_OPEN}{_GAP}(?:{_DOT_WORD}|\.){_GAP}{_CLOSE}{_GAP}"
+_DOT_PLAIN = rf"\s{{1,8}}{_DOT_WORD}\s{{1,8}}"
+#: A host is a few labels of at most 63 characters.
+_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+_LABELS = "{1,9}"
 _LOCAL = r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*"
+#: Characters before an at that are searched for a local part (64 at most, and their disguise).
+_WINDOW = 256
 #: Ends that make "name at host dot tld" an address; without brackets the words alone are prose.
 _TLD = "(?:com|org|net|edu|gov|mil|int|info|biz|io|ai|app|dev|co|me|tv|eu|uk|us|ca|au|de|at|ch|fr|es|it|nl|be|pt|pl|se|no|dk|fi|ru|cn|jp|kr|in|br|mx|ar|example|test"
 _TLD += "|name|pro|xyz|online|site|shop|store|tech|cloud|blog|email|cat"
@@ -106,17 +115,17 @@ _TLD += "".join(f"|{a}[{b}]" for a, b in zip("abcdefghijklmnopqrstuvwyz", (
     "aceginu fs et amw").split())) + ")"
 #: Words that stand before "at host.tld" in prose.
 _PROSE = "look|looks|looked|looking|us|me|it|them|him|her|find|found|available|visit|see|read|more|online|live|hosted|here|is|are|was|were|and|or|page|site|website|news"
-_DISGUISED = re.compile(
-    rf"(?<![\w.])(?P<local>{_LOCAL}(?:(?:{_DOT_B}|{_DOT_PLAIN}){_LOCAL})*)"
-    rf"(?:(?P<at1>{_AT_B}|\s*@\s*)(?P<host1>{_LABEL}(?:(?:{_DOT_B}|{_DOT_PLAIN}|\.){_LABEL})+)"
-    rf"|(?P<at2>{_AT_PLAIN})(?P<host2>{_LABEL}(?:(?:{_DOT_B}|{_DOT_PLAIN}){_LABEL})*(?:{_DOT_B}|{_DOT_PLAIN}){_TLD})"
-    rf"|(?P<at3>{_AT_PLAIN})(?P<host3>{_LABEL}(?:(?:{_DOT_B}|{_DOT_PLAIN}|\.){_LABEL})*\.{_TLD}))(?!\w)",
-    re.I,
-)
-_AT_HOST_HINT = re.compile(rf"{_AT_PLAIN}{_LABEL}(?:\.|\s*{_OPEN}|{_DOT_PLAIN})", re.I)
+_HOST_1 = re.compile(rf"{_LABEL}(?:(?:{_DOT_B}|{_DOT_PLAIN}|\.){_LABEL}){_LABELS}(?!\w)", re.I)
+_HOST_2 = re.compile(rf"{_LABEL}(?:(?:{_DOT_B}|{_DOT_PLAIN}){_LABEL}){{0,8}}(?:{_DOT_B}|{_DOT_PLAIN}){_TLD}(?!\w)", re.I)
+_HOST_3 = re.compile(rf"{_LABEL}(?:(?:{_DOT_B}|{_DOT_PLAIN}|\.){_LABEL}){{0,8}}\.{_TLD}(?!\w)", re.I)
+_DOT_WORD_BACK = "(?:" + "|".join(x[::-1] for x in ("dot", "punkt", "punto", "point")) + ")"
+_DOT_BACK = rf"(?:{_GAP}{_CLOSE}{_GAP}(?:{_DOT_WORD_BACK}|\.){_GAP}{_OPEN}{_GAP}|\s{{1,8}}{_DOT_WORD_BACK}\s{{1,8}})"
+#: A local part read from its end.
+_LOCAL_BACK = re.compile(rf"{_LOCAL}(?:{_DOT_BACK}{_LOCAL})*(?![\w.])", re.I)
+_AT_HOST_HINT = re.compile(rf"\s{_AT_WORD}\s{{1,8}}{_LABEL}(?:\.|{_GAP}{_OPEN}|{_DOT_PLAIN})", re.I)
 _PROSE_LOCAL = re.compile(_PROSE, re.I)
 _DOTS = re.compile(rf"{_DOT_B}|{_DOT_PLAIN}", re.I)
-_AT_DOT_HINT = re.compile(rf"\b{_DOT_WORD}\b|{_OPEN}\s*(?:{_AT_WORD}|{_DOT_WORD}|@|\.)\s*{_CLOSE}|\s@|@\s", re.I)
+_AT_DOT_HINT = re.compile(rf"\b{_DOT_WORD}\b|{_OPEN}{_GAP}(?:{_AT_WORD}|{_DOT_WORD}|@|\.){_GAP}{_CLOSE}|\s@|@\s", re.I)
 
 _DETECTORS: list[tuple[str, re.Pattern]] = [
     ("email", re.compile(r"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])")),
@@ -124,7 +133,7 @@ _DETECTORS: list[tuple[str, re.Pattern]] = [
         "secret",
         re.compile(
             r"(?<![A-Z0-9])AKIA[0-9A-Z]{16}(?![A-Z0-9])|\bgh[pousr]_[A-Za-z0-9]{30,}|\bsk_(?:live|test)_[A-Za-z0-9]{16,}"
-            r"|\bxox[abprs]-[A-Za-z0-9-]{10,}|\beyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}"
+            r"|\bxox[abprs]-[A-Za-z0-9-]{10,}|(?<![\w-])eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]{10,}"
             r"|(?<=[=:])[ \t]*[\"']?[0-9a-f]{16,}[\"']?(?![0-9a-zA-Z])|\b[0-9a-f]{32,}\b"
             r"|(?i:(?:password|passwd|pwd|secret|api_?key|token)[ \t]*[=:][ \t]*[\"']?[^\s\"']{6,}[\"']?)"
         ),
@@ -135,8 +144,8 @@ _DETECTORS: list[tuple[str, re.Pattern]] = [
     (
         "phone",
         re.compile(
-            r"(?<![\w.])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}"
-            r"|\d{3}[ .-]\d{3}[ .-]\d{4}|0[1-9](?:[ .-]\d{2}){4}|[6-9]\d{2}(?:[ -]\d{3}){2}|[6-9]\d{2}(?:[ -]\d{2}){3}|0\d{2,4}[ /.-]\d{3,4}[ .-]?\d{2,5}|1?\d{10})(?!\w)"
+            r"(?<![\w.])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}"
+            r"|\d{3}[ .-]\d{3}[ .-]\d{4}|0[1-9](?:[ .-]\d{2}){4}|[6-9]\d{2}(?:[ -]\d{3}){2}|[6-9]\d{2}(?:[ -]\d{2}){3}|0\d{2,4}[ /.-]\d{3,4}[ .-]?\d{2,5})(?!\w)"
         ),
     ),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
@@ -267,17 +276,45 @@ def spelled_edits(text: str) -> list[Edit]:
     return edits
 
 
+def _before(text: str, least: int, end: int) -> int | None:
+    """Where the local part that ends at ``end`` begins, not before ``least``."""
+    low = max(least, end - _WINDOW)
+    m = _LOCAL_BACK.match(text[low:end][::-1])
+    if m is None or m.end() == end - low and low > 0 and (low > least or text[low - 1] == "." or text[low - 1].isalnum()):
+        return None
+    return end - m.end()
+
+
 def at_dot_edits(text: str) -> list[Edit]:
-    """Edits that undo at/dot disguises inside address-shaped passages."""
+    """Edits that undo at/dot disguises inside address-shaped passages.
+
+    Each at is read outwards: first a host after it, then a local part before
+    it, both of bounded length, so the time is linear in the text.
+    """
     edits: list[Edit] = []
-    for m in _DISGUISED.finditer(text):
-        which = next(x for x in "123" if m["at" + x] is not None)
-        if which == "3" and _PROSE_LOCAL.fullmatch(m["local"]):
+    done = 0
+    for mark in _AT_MARK.finditer(text):
+        begin, end = mark.span()
+        if begin < done:
             continue
-        for group in ("local", "host" + which):
-            edits += [(d.start(), d.end(), ".") for d in _DOTS.finditer(text, m.start(group), m.end(group))]
-        if m["at" + which] != "@":
-            edits.append((m.start("at" + which), m.end("at" + which), "@"))
+        plain = mark[0][0].isalpha()
+        after, before = end, begin
+        while after < len(text) and after - end < 8 and text[after].isspace():
+            after += 1
+        while before > done and begin - before < 8 and text[before - 1].isspace():
+            before -= 1
+        hosts = (_HOST_2, _HOST_3) if plain else (_HOST_1,)
+        host = next((m for rx in hosts if (m := rx.match(text, after))), None)
+        if host is None:
+            continue
+        start = _before(text, done, before)
+        if start is None or plain and _PROSE_LOCAL.fullmatch(text, start, before):
+            continue
+        for a, b in ((start, before), host.span()):
+            edits += [(d.start(), d.end(), ".") for d in _DOTS.finditer(text, a, b)]
+        if text[before:after] != "@":
+            edits.append((before, after, "@"))
+        done = host.end()
     return sorted(edits)
 
 
@@ -302,6 +339,12 @@ def _iban_ok(s: str) -> bool:
     return 15 <= len(s) <= 34 and int(n) % 97 == 1
 
 
+def _card_ok(s: str) -> bool:
+    """Luhn's check of a card number."""
+    d = [int(c) for c in reversed(s) if c.isdigit()]
+    return (sum(d[0::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0
+
+
 Finding = tuple[str, int, int, str]
 
 
@@ -316,7 +359,7 @@ def _detect(text: str, normal: Normal) -> list[Finding]:
         if kind == "email" and not mail or kind in _NEEDS_DIGIT - {"secret"} and not digit:
             continue
         for m in rx.finditer(s):
-            if kind == "iban" and not _iban_ok(m[0]):
+            if kind == "iban" and not _iban_ok(m[0]) or kind == "card" and not _card_ok(m[0]):
                 continue
             x, y = m.span()
             x += len(m[0]) - len(m[0].lstrip())
