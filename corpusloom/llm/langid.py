@@ -201,19 +201,25 @@ def sample(docs: DataFrame, docs_per_lang: int = SAMPLE_DOCS, chars: int = SAMPL
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     w = Window.partitionBy("lang").orderBy(F.col("n") > SAMPLE_DOC_CHARS, "h", "doc_id")
     ids = (
-        rows.select("doc_id", "lang", F.length("text").alias("n"), F.xxhash64("doc_id").alias("h"))
+        rows.select("doc_id", "lang", F.length("text").alias("n"), F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
         .where("n > 0")
         .withColumn("r", F.row_number().over(w))
         .where(F.col("r") <= docs_per_lang)
-        .select("doc_id", "lang", "r")
+        .select("doc_id", "lang", "t", "r")
         .collect()
     )
     if not ids:
         return {}
-    want = {r.doc_id for r in ids}
-    got = rows.where(F.col("doc_id").isin(*want)).select(
-        "doc_id", "lang", F.substring("text", 1, SAMPLE_DOC_CHARS).alias("text")
-    ).collect()
+    key = ["doc_id", "lang", "t"]
+    want = docs.sparkSession.createDataFrame([tuple(r[c] for c in key) for r in ids], "doc_id long, lang string, t long").distinct()
+    # one row of each key, however often it is repeated
+    got = (
+        rows.select("doc_id", "lang", F.xxhash64("text").alias("t"), F.substring("text", 1, SAMPLE_DOC_CHARS).alias("text"))
+        .join(F.broadcast(want), key)  # docs_per_lang rows a language
+        .groupBy(*key)
+        .agg(F.min("text").alias("text"))
+        .collect()
+    )
     rank = {(r.doc_id, r.lang): r.r for r in ids}
     parts: dict[str, list[str]] = {}
     for r in sorted(

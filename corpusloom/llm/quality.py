@@ -9,8 +9,8 @@ and its ``NEIGHBOURS`` nearest vote with their labels, weighted by similarity.
 
 Defined results: null, empty and termless texts have no vector, so ``score``
 and ``quality`` are null; labels that are null or whose document is missing or
-null are not used; equal similarities are taken in order of the sample;
-repeated rows are scored each; a null ``doc_id`` is carried; without usable
+null are not used; similarities equal in six decimals are taken in order of the
+sample; repeated rows are scored each (and learned once); a null ``doc_id`` is carried; without usable
 labels every score is null; an empty table gives an empty result; only the
 named columns are read.
 """
@@ -76,6 +76,16 @@ def term_counts(texts: list[str | None]) -> np.ndarray:
     return np.bincount(key, minlength=len(texts) * TERMS).astype(np.float32).reshape(len(texts), TERMS)
 
 
+def nearest(sim: np.ndarray, k: int) -> np.ndarray:
+    """Mask of each row's ``k`` greatest values; of equal ones the first."""
+    least = np.partition(sim, sim.shape[1] - k, axis=1)[:, [-k]]
+    take = sim >= least
+    for i in np.flatnonzero(take.sum(axis=1) > k):
+        equal = np.flatnonzero(sim[i] == least[i])
+        take[i, equal[k - (sim[i] > least[i]).sum() :]] = False
+    return take
+
+
 @dataclass
 class Model:
     idf: np.ndarray
@@ -99,10 +109,9 @@ class Model:
                 v, ok = self.project(term_counts(texts[block]))
                 if not k:
                     continue
-                sim = v @ self.vectors.T
-                near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-                w = np.maximum(np.take_along_axis(sim, near, axis=1).astype(np.float64), 1e-9)
-                out[block] = (w * self.labels[near]).sum(axis=1) / w.sum(axis=1)
+                sim = np.round(v @ self.vectors.T, 6)
+                w = np.where(nearest(sim, k), np.maximum(sim, 1e-9), 0.0).astype(np.float64)
+                out[block] = (w @ self.labels) / w.sum(axis=1)
                 has[block] = ok
         return out, has
 

@@ -6,13 +6,13 @@ learning rates suit rare words, and L1 leaves few weights other than 0: the
 model is a short list of coordinates and weights, broadcast to score every
 document.
 
-The model is fit on a bounded sample, ``TRAIN_ROWS`` labelled documents in
-hash order of their id; scoring covers every whole text.
+The model is fit on a bounded sample, ``TRAIN_ROWS`` labelled documents and
+``TRAIN_CHARS`` characters in hash order of their id; scoring covers every whole text.
 
 Defined results: null, empty and wordless texts get the score of the bias
 alone, like any text without known features; labels that are null or whose
-document is missing or null are not used; repeated rows are scored (or
-learned) each; a null ``doc_id`` is carried; without labels of both kinds
+document is missing or null are not used; repeated rows are scored each and
+learned once; a null ``doc_id`` is carried; without labels of both kinds
 every score is null; an empty table gives an empty result; only the named
 columns are read.
 """
@@ -27,9 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm.textkit import column, mix64, pieces, slices, word_hashes
+from corpusloom.session import cut, free
 
 BITS = 20
 TRAIN_ROWS = 12_000
+#: Characters of a training sample.
+TRAIN_CHARS = 200_000_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 3.0, 0.01
 #: Toxic documents are rare, so the bias is strongly negative; this cut balances misses and false alarms.
@@ -37,20 +40,25 @@ THRESHOLD = 0.25
 SEED = 11
 
 
-def features(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates present in each text: ``(text number, coordinate)``, distinct, in order."""
+def grams(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """``(text number, coordinate)`` of every word, bigram and skip-gram."""
     w, off = word_hashes(texts)
     doc = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(off))
     salt = np.uint64(0x9E3779B97F4A7C15)
-    docs, grams = [doc], [w]
+    docs, found = [doc], [w]
     with np.errstate(over="ignore"):
         for gap in (1, 2):
             if len(w) > gap:
                 same = doc[gap:] == doc[:-gap]
                 docs.append(doc[gap:][same])
-                grams.append((mix64(w[:-gap][same] + np.uint64(gap)) ^ w[gap:][same]) * salt)
-    at = (mix64(np.concatenate(grams)) >> np.uint64(64 - bits)).astype(np.int64)
-    key = np.unique((np.concatenate(docs) << bits) | at)
+                found.append((mix64(w[:-gap][same] + np.uint64(gap)) ^ w[gap:][same]) * salt)
+    return np.concatenate(docs), (mix64(np.concatenate(found)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def features(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Coordinates present in each text: ``(text number, coordinate)``, distinct, in order."""
+    doc, at = grams(texts, bits)
+    key = np.unique((doc << bits) | at)
     return key >> bits, key & ((1 << bits) - 1)
 
 
@@ -64,13 +72,16 @@ class Model:
     fit: bool = True
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Probability of each text; repeated grams are sought out only among those with a weight."""
         out = np.full(len(texts), self.bias)
+        dense = np.zeros(1 << BITS)
+        dense[self.at] = self.weight
         for part in pieces(texts):
-            doc, at = features(texts[part])
-            if len(doc) and len(self.at):
-                k = np.minimum(np.searchsorted(self.at, at), len(self.at) - 1)
-                w = np.where(self.at[k] == at, self.weight[k], 0.0)
-                out[part] += np.bincount(doc, weights=w, minlength=part.stop - part.start)
+            doc, at = grams(texts[part])
+            hit = np.flatnonzero(dense[at])
+            key = np.unique((doc[hit] << BITS) | at[hit])
+            weights = dense[key & ((1 << BITS) - 1)]
+            out[part] += np.bincount(key >> BITS, weights=weights, minlength=part.stop - part.start)
         return 1.0 / (1.0 + np.exp(-np.clip(out, -35, 35)))
 
 
@@ -106,21 +117,32 @@ def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = S
     return Model(at, w[at], float(w[-1]))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[list[str], list[int], list[int]]:
-    """Texts, labels and ids of a sample of at most ``rows`` label rows, in hash order of the id."""
+def labelled(
+    docs: DataFrame, labels: DataFrame, label: str, rows: int, chars: int = TRAIN_CHARS
+) -> tuple[list[str], list[int], list[int]]:
+    """Texts, labels and ids of a sample in hash order of the id.
+
+    It has at most ``rows`` label rows, as many different texts of these, and
+    ``chars`` characters: a text that would exceed them is passed over.  Rows
+    repeated in full count once.
+    """
+    order = [F.xxhash64("doc_id"), "doc_id", "y"]
     chosen = (
         labels.select("doc_id", F.col(label).cast("int").alias("y"))
         .where("doc_id is not null and y is not null")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
+        .orderBy(*order)
         .limit(rows)
     )
-    got = (
-        docs.select("doc_id", "text")
-        .where("text is not null")
-        .join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows of two numbers
-        .toArrow()
-        .to_pylist()
-    )
+    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # two numbers a row
+    held = cut(found.groupBy("doc_id", "y", F.xxhash64("text").alias("tkey")).agg(F.min("text").alias("text")))
+    kept, left = [], chars
+    for r in held.select("doc_id", "y", "tkey", F.length("text").alias("n")).orderBy(*order, "tkey").limit(rows).collect():
+        if r.n <= left:
+            left -= r.n
+            kept.append((r.doc_id, r.y, r.tkey))
+    keys = docs.sparkSession.createDataFrame(kept, "doc_id long, y int, tkey long")
+    got = held.join(F.broadcast(keys), ["doc_id", "y", "tkey"]).select("doc_id", "y", "text").toArrow().to_pylist()
+    free(held)
     got.sort(key=lambda r: (r["doc_id"], r["y"], r["text"]))
     return [r["text"] for r in got], [r["y"] for r in got], [r["doc_id"] for r in got]
 
