@@ -18,7 +18,8 @@ Defined results: null texts and texts without tokens have no block; a null
 source is a source (named null); a null ``doc_id`` comes first in its source;
 equal ids are ordered by text, repeated rows each count; very long texts span
 many blocks; a source with weight 0 or without tokens is never drawn; an empty
-table, or weights that are all 0, give an empty result; other columns than
+table, or weights that are all 0, give an empty result; more than
+``MAX_SOURCES`` sources are an error; other columns than
 ``doc_id, text, lang, source`` are ignored.
 """
 
@@ -29,7 +30,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from corpusloom.llm import sharding
 from corpusloom.llm.ranks import key_columns, meet, running_total
@@ -39,6 +39,10 @@ from corpusloom.session import cut
 
 BLOCK_TOKENS = 1024
 SHARD_BLOCKS = 256
+#: Shards whose draws one task adds up.
+SHARDS_A_BUCKET = 1 << 14
+#: More sources than this are refused: their table is held on the driver and in every task.
+MAX_SOURCES = 10_000
 ALPHA = 0.7
 SEED = 7
 SCHEMA = (
@@ -71,7 +75,9 @@ def block_of(draws: np.ndarray, source: int, n: int, seed: int) -> np.ndarray:
 
 def source_table(docs: DataFrame, block_tokens: int, weights: dict | None) -> list[tuple[str | None, int, float]]:
     """``source, blocks, weight`` of every source with tokens and weight, nulls first."""
-    rows = docs.groupBy("source").agg(F.sum("n").alias("n")).where("n > 0").collect()
+    rows = docs.groupBy("source").agg(F.sum("n").alias("n")).where("n > 0").limit(MAX_SOURCES + 1).collect()
+    if len(rows) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources to mix")
     rows.sort(key=lambda r: (r.source is not None, r.source))
     w = [float(r.n) ** ALPHA if weights is None else float(weights.get(r.source, 0.0)) for r in rows]
     total = sum(w)
@@ -117,12 +123,8 @@ def slots(docs: DataFrame, sources: list, total: int, shard_blocks: int, seed: i
                 names=list(out),
             )
 
-    before = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    based = (
-        spark.range(n_shards)
-        .mapInArrow(drawn, "shard long, s long, c long")
-        .withColumn("base", F.coalesce(F.sum("c").over(before), F.lit(0)))
-    )
+    counted = spark.range(n_shards).mapInArrow(drawn, "shard long, s long, c long")
+    based = running_total(counted, ["s"], "shard", [], F.col("c"), "base", SHARDS_A_BUCKET, dense=True)
     per_shard = based.groupBy("shard").agg(F.collect_list(F.struct("s", "c", "base")).alias("items"))
     return per_shard.mapInArrow(filled, "shard long, slot long, s long, epoch long, block long")
 

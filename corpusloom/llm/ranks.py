@@ -2,10 +2,14 @@
 
 Running totals use two window levels instead of one global window.
 
-Rows are put into ordered buckets of their id, small enough for one task; the
-bucket totals (thousands of times fewer than the rows) are summed by one
-window per group, and each bucket's rows by another.  The order is that of the
-ids, so the result depends neither on file layout nor on partitioning.
+Rows are put into ordered buckets of about ``BUCKET_ROWS``; the bucket totals
+(hundreds of thousands of times fewer than the rows) are summed by one window
+per group, and each bucket's rows by another.  Buckets are the partitions of a
+range partitioning, whose bounds come from a sample: outliers and clusters of
+ids do not fill one of them, and rows equal in id and ties, however many, are
+spread by a seeded number.  The order is that of the ids and ties, so the result
+depends neither on file layout nor on partitioning, but for which of several
+rows that are equal in all of these comes first.
 
 Ranks, totals and placements are made on narrow rows, keyed by ``key_columns``;
 ``meet`` then joins them with the texts in the only shuffle that moves these.
@@ -13,32 +17,47 @@ Ranks, totals and placements are made on narrow rows, keyed by ``key_columns``;
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from corpusloom.session import cut
+
 #: Rows a bucket aims at.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1 << 18
+SEED = 17
 
 
-def _bucket(df: DataFrame, id_col: str, rows: int) -> Column:
-    """Bucket number, non-decreasing in the id; a null id is in bucket -1."""
-    x = df.agg(F.count(id_col).alias("n"), F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).first()
-    if not x.n or x.hi == x.lo:
-        return F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long")
-    width = max(1.0, (float(x.hi) - float(x.lo) + 1.0) / max(1.0, x.n / rows))
-    at = F.floor((F.col(id_col).cast("double") - F.lit(float(x.lo))) / F.lit(width))
-    return F.coalesce(at, F.lit(-1)).cast("long")
+def bucketed(df: DataFrame, id_col: str, ties: list[str], rows: int) -> DataFrame:
+    """``df``, cut, with ``rt_bucket``: non-decreasing in the id (nulls first) and the ties."""
+    tasks = max(1, ceil(df.count() / rows))
+    keys = [F.col(id_col).asc_nulls_first(), *ties, "rt_salt"]
+    ranged = df.withColumn("rt_salt", F.rand(SEED)).repartitionByRange(tasks, *keys).drop("rt_salt")
+    return cut(ranged.withColumn("rt_bucket", F.spark_partition_id().cast("long")))
 
 
 def running_total(
-    df: DataFrame, groups: list[str], id_col: str, ties: list[str], value: Column, out: str, rows: int = BUCKET_ROWS
+    df: DataFrame,
+    groups: list[str],
+    id_col: str,
+    ties: list[str],
+    value: Column,
+    out: str,
+    rows: int = BUCKET_ROWS,
+    dense: bool = False,
 ) -> DataFrame:
     """``df`` with ``out``: the total of ``value`` over all earlier rows of the group.
 
     Rows are ordered by ``id_col`` (nulls first), then ``ties``.  A null group
-    is a group.  The columns of ``df`` must not begin with ``rt_``.
+    is a group.  ``dense`` ids are the numbers from 0 up, so their buckets are
+    computed.  The columns of ``df`` must not begin with ``rt_``.
     """
-    df = df.withColumn("rt_bucket", _bucket(df, id_col, rows)).withColumn("rt_value", value.cast("long"))
+    df = df.withColumn("rt_value", value.cast("long"))
+    if dense:
+        df = df.withColumn("rt_bucket", F.floor(F.col(id_col) / rows).cast("long"))
+    else:
+        df = bucketed(df, id_col, ties, rows)
     before = Window.partitionBy(*groups).orderBy("rt_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = df.groupBy(*groups, "rt_bucket").agg(F.sum("rt_value").alias("rt_sum"))
     base = sums.select(
