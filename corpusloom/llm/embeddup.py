@@ -21,6 +21,7 @@ and ``embedding`` are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from math import ceil, erf, exp, log, pi, sqrt
 
 import numpy as np
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.llm import nearsets
-from corpusloom.llm.textkit import as_long, column, mix64
-from corpusloom.session import cut
+from corpusloom.llm.textkit import as_long, mix64
+from corpusloom.session import cut, free
 
 THRESHOLD = 0.95
 WIDTH = 1.2
 RECALL = 0.95
 SEED = 3
+#: Tables whose buckets are kept at once; what they join is not compared again in later rounds.
+ROUND_TABLES = 64
 
 
 def collision(distance: float, width: float = WIDTH) -> float:
@@ -52,33 +55,46 @@ def shape(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple
     return m, ceil(log(1 - recall) / log(1 - near**m))
 
 
-def units(vectors: list) -> list[np.ndarray | None]:
-    """Unit vector of each row, or None where it has none."""
-    out: list[np.ndarray | None] = []
-    for v in vectors:
-        x = None if v is None or not len(v) or any(c is None for c in v) else np.asarray(v, dtype=np.float64)
-        norm = 0.0 if x is None else float(np.sqrt((x * x).sum()))
-        out.append(x / norm if x is not None and 0 < norm < float("inf") else None)
-    return out
-
-
-def node_of(unit: np.ndarray | None) -> int | None:
-    """Hash of a direction (its coordinates as 32-bit floats)."""
-    if unit is None:
-        return None
-    x = (unit.astype(np.float32) + np.float32(0)).view(np.uint32).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        h = mix64(x + np.arange(1, len(x) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        return int(mix64(h.sum(dtype=np.uint64, keepdims=True))[0].astype(np.int64))
-
-
-def keys(block: np.ndarray, m: int, tables: int, seed: int = SEED) -> np.ndarray:
-    """``(rows, tables)`` bucket keys of unit vectors of one dimension."""
+def by_length(col: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and matrix of the lists of each length above 0; nulls inside become NaN."""
+    size = np.where(np.asarray(col.is_valid()), np.diff(col.offsets.to_numpy()), 0)
+    begin, flat = col.offsets.to_numpy()[:-1], col.values.to_numpy(zero_copy_only=False)
+    for n in np.unique(size[size > 0]):
+        at = np.flatnonzero(size == n)
+        yield at, flat[begin[at][:, None] + np.arange(n)]
+
+
+def prepared(col: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """``node`` (a hash of the direction's coordinates as 32-bit floats) and ``unit`` of each vector; null where it has none."""
+    node, size = np.zeros(len(col), dtype=np.int64), np.zeros(len(col), dtype=np.int64)
+    found = []
+    for at, x in by_length(col):
+        with np.errstate(over="ignore", invalid="ignore"):
+            norm = np.sqrt((x * x).sum(axis=1))
+        ok = (norm > 0) & (norm < np.inf)
+        at, unit = at[ok], x[ok] / norm[ok][:, None]
+        bits = (unit.astype(np.float32) + np.float32(0)).view(np.uint32).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            h = mix64(bits + np.arange(1, unit.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            node[at] = as_long(mix64(h.sum(axis=1, dtype=np.uint64)))
+        size[at] = unit.shape[1]
+        found.append((at, unit))
+    edge = np.concatenate([[0], np.cumsum(size)])
+    flat = np.zeros(edge[-1])
+    for at, unit in found:
+        flat[edge[at][:, None] + np.arange(unit.shape[1])] = unit
+    none = pa.array(size == 0)
+    return pa.array(node, mask=size == 0), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(flat), mask=none)
+
+
+def keys(block: np.ndarray, m: int, tables: int, seed: int = SEED, first: int = 0) -> np.ndarray:
+    """``(rows, tables)`` bucket keys of unit vectors of one dimension, for the tables from ``first``."""
     dim = block.shape[1]
-    rng = np.random.default_rng([seed, dim])
+    rng = np.random.default_rng([seed, dim, first])
     a, b = rng.standard_normal((dim, tables * m)), rng.uniform(0, WIDTH, tables * m)
     q = np.floor((block @ a + b) / WIDTH).astype(np.int64).view(np.uint64).reshape(len(block), tables, m)
-    h = np.broadcast_to(np.arange(1, tables + 1, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(dim), q.shape[:2])
+    number = np.arange(first + 1, first + tables + 1, dtype=np.uint64)
+    h = np.broadcast_to(number * np.uint64(1_000_003) + np.uint64(dim), q.shape[:2])
     for j in range(m):
         with np.errstate(over="ignore"):
             h = mix64(h * np.uint64(0x100000001B3) + q[:, :, j])
@@ -92,48 +108,43 @@ def near_groups(vectors: DataFrame, threshold: float = THRESHOLD, recall: float
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            us = units(column(b, "embedding"))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array([node_of(u) for u in us], pa.int64()),
-                    pa.array([None if u is None else u for u in us], pa.list_(pa.float64())),
-                ],
-                names=["vec_id", "node", "unit"],
-            )
-
-    def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([b.column(0), *prepared(b.column(1))], names=["vec_id", "node", "unit"])
+
+    def bucket(batches: Iterator[pa.RecordBatch], first: int, some: int) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, us = b.column(0).to_numpy(), column(b, "unit")
-            dims = np.array([len(u) for u in us])
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                h = keys(np.array([us[i] for i in at]), m, tables)
+            nodes = b.column(0).to_numpy()
+            for at, x in by_length(b.column(1)):
+                h = keys(x, m, some, first=first)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(as_long(np.ascontiguousarray(h).ravel())), pa.array(np.repeat(nodes[at], tables))],
+                    [pa.array(as_long(np.ascontiguousarray(h).ravel())), pa.array(np.repeat(nodes[at], some))],
                     names=["value", "node"],
                 )
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [
-                len(x) == len(y) and float(np.dot(x, y)) >= threshold
-                for x, y in zip(column(b, "ua"), column(b, "ub"))
-            ]
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            ok = np.zeros(b.num_rows, dtype=bool)
+            other = {x.shape[1]: (at, x) for at, x in by_length(b.column(3))}
+            for at, x in by_length(b.column(2)):
+                there, y = other.get(x.shape[1], (np.zeros(0, np.int64), x[:0]))
+                both, i, j = np.intersect1d(at, there, assume_unique=True, return_indices=True)
+                ok[both] = np.einsum("ij,ij->i", x[i], y[j]) >= threshold
+            yield b.select([0, 1]).filter(pa.array(ok))
 
     rows = cut(vectors.mapInArrow(prepare, "vec_id long, node long, unit array<double>"))
     nodes = cut(rows.where("node is not null").groupBy("node").agg(F.first("unit").alias("unit")))
-    lists = cut(nodes.mapInArrow(bucket, "value long, node long"))
-    many = lists.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("value")
-    lists = cut(lists.join(many, "value"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         ua = nodes.select(F.col("node").alias("a"), F.col("unit").alias("ua"))
         ub = nodes.select(F.col("node").alias("b"), F.col("unit").alias("ub"))
         return pairs.join(ub, "b").join(ua, "a").select("a", "b", "ua", "ub").mapInArrow(check, "a long, b long")
 
-    comp = nearsets.group(lists, verify, 0.0)
+    comp = None
+    for first in range(0, tables, ROUND_TABLES):
+        some = min(ROUND_TABLES, tables - first)
+        every = cut(nodes.mapInArrow(partial(bucket, first=first, some=some), "value long, node long"))
+        lists = cut(nearsets.long_lists(every))
+        old, comp = comp, nearsets.group(lists, verify, 0.0, known=comp)
+        free(every, lists, old)
     members = cut(
         rows.select("vec_id", "node")
         .distinct()

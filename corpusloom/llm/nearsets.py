@@ -118,14 +118,18 @@ def _enough(lists: DataFrame, threshold: float) -> Column:
     return ok
 
 
-def star_pairs(lists: DataFrame, threshold: float) -> DataFrame:
-    """Distinct ``a, b``: each list's smallest node with each other one."""
+def star_pairs(lists: DataFrame, threshold: float, known: DataFrame | None = None) -> DataFrame:
+    """Distinct ``a, b``: each list's smallest node with each other one, unless they share a ``known`` component."""
+    apart = F.lit(True)
+    if known is not None:
+        lists = lists.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        apart = F.col("x.comp") != F.col("y.comp")
     entry = F.struct("node", *[c for c in lists.columns if c not in ("value", "node")])
     hubs = lists.groupBy("value").agg(F.min(entry).alias("x"), F.max("node").alias("z")).where("x.node < z")
     y = lists.select("value", entry.alias("y"))
     return (
         y.join(hubs.select("value", "x"), "value")
-        .where((F.col("x.node") < F.col("y.node")) & _enough(lists, threshold))
+        .where((F.col("x.node") < F.col("y.node")) & apart & _enough(lists, threshold))
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         .distinct()
     )
@@ -245,14 +249,18 @@ def group(
     threshold: float,
     refine: Callable[[DataFrame], DataFrame] | None = None,
     heavy: int = HEAVY,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """``node, comp`` for all nodes with a verified partner.
+    """``node, comp`` for all nodes with a verified partner, here or in the ``known`` components.
 
     ``verify`` takes pairs ``a, b`` and returns those that are similar.
     ``refine`` takes ``node`` and returns ``banded_lists`` of these nodes' whole
     sets; it replaces the mixed lists of more than ``heavy`` members.
     """
-    found = cut(verify(star_pairs(lists, threshold)).select("a", "b"))
+    found = verify(star_pairs(lists, threshold, known)).select("a", "b")
+    if known is not None:
+        found = found.union(known.where("node != comp").select(F.col("comp").alias("a"), F.col("node").alias("b")))
+    found = cut(found)
     comp = components(found)
     mixed = cut(mixed_lists(lists, comp))
     light = mixed

@@ -258,3 +258,15 @@ def test_embeddup_shape_keeps_recall(n):
 
 def test_fixture_texts_are_near():
     assert jaccard(shingles(A), shingles(B)) >= minhash.THRESHOLD
+
+
+def test_embeddup_in_rounds(spark, monkeypatch):
+    """Tables in rounds of a few find the same groups."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((60, 16))
+    rows = [(i, [float(x) for x in base[i % 60] + 0.02 * rng.standard_normal(16)]) for i in range(180)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {r.vec_id: r.group_id for r in embeddup.near_groups(df).collect()}
+    monkeypatch.setattr(embeddup, "ROUND_TABLES", 10)
+    assert {r.vec_id: r.group_id for r in embeddup.near_groups(df).collect()} == whole
+    assert len(set(whole.values())) <= 60

@@ -190,3 +190,30 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(odd(spark), {"web": 0.0}).count() == 0
     assert mixing.mix(empty(spark)).count() == 0
     assert mixing.mix(empty(spark)).columns == mixing.mix(odd(spark)).columns
+
+
+def test_buckets_stay_even_beside_an_outlier(spark):
+    """One far id, clusters, and a third of the rows equal: no bucket holds much more than its share."""
+    from corpusloom.llm import ranks
+
+    ids = [*range(3000), 2**60, *(10**15 + i for i in range(3000)), *([77] * 3000)]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long").repartition(8)
+    sizes = [r["count"] for r in ranks.bucketed(df, "doc_id", [], 500).groupBy("rt_bucket").count().collect()]
+    assert sum(sizes) == len(ids) and len(sizes) >= 15 and max(sizes) <= 1500
+    got = ranks.running_total(df, [], "doc_id", [], F.lit(1), "rank", rows=500).collect()
+    assert sorted(r["rank"] for r in got) == list(range(len(ids)))
+    assert [r.doc_id for r in sorted(got, key=lambda r: r["rank"])] == sorted(ids)
+
+
+def test_running_total_of_dense_ids(spark):
+    from corpusloom.llm import ranks
+
+    df = spark.range(1000).selectExpr("id", "id % 3 as g", "id as v")
+    got = ranks.running_total(df, ["g"], "id", [], F.col("v"), "before", rows=64, dense=True).collect()
+    assert all(r.before == sum(range(r.g, r.id, 3)) for r in got) and len(got) == 1000
+
+
+def test_too_many_sources_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 2)
+    with pytest.raises(ValueError):
+        mixing.mix(docs(spark, [(i, "a b c", "en", f"s{i}") for i in range(3)]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import re
+import time
 
 import numpy as np
 import pytest
@@ -43,6 +44,21 @@ def greedy_phrases(text, sample):
     return n
 
 
+def all_pieces(sample, most=12):
+    """Every piece of the sample up to ``most`` characters."""
+    return {sample[i : i + n] for n in range(1, most + 1) for i in range(len(sample) - n + 1)}
+
+
+class Pieces:
+    """``in`` for pieces of any length, short ones by a set."""
+
+    def __init__(self, sample):
+        self.sample, self.short = sample, all_pieces(sample)
+
+    def __contains__(self, x):
+        return x in self.short if len(x) <= 12 else x in self.sample
+
+
 def test_phrases_equal_longest_match_search():
     samples = {"en": "the cat sat on the mat and the dog barked at the cat", "de": "der hund und die katze sitzen auf der matte", "xx": "123"}
     p = langid.CrossParser(samples)
@@ -147,6 +163,36 @@ CLEAN = [
 ]
 
 
+@pytest.mark.parametrize("text", [
+    "order 1700000000 of 15551234567", "id 1234567890123456789 and 4111 1111 1111 1112", "visit us at example dot com now",
+    "a at b", "x @ y", "we met at the cafe at noon", "é at example.com",
+])
+def test_numbers_and_prose_stay(text):
+    assert list(pii.detect([text])) == [[]]
+
+
+def test_phone_beside_an_address_number():
+    (found,) = pii.detect(["on +1 (826) 555-4081 190.137.223.204 du"])
+    assert [(k, n) for k, _, _, n in found] == [("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204")]
+
+
+_MB = 1_000_000
+ADVERSARIAL = {
+    "dots": "a dot " * (_MB // 6), "dashes": "a-" * (_MB // 2) + " @ ", "rule": "-" * _MB + " @ x.com", "ats": "a @ " * (_MB // 4),
+    "blanks": " " * _MB + "at" + " " * _MB, "open": "( " * (_MB // 2), "keys": "eyJ-" * (_MB // 4), "digits": "1" * _MB, "locals": "a." * (_MB // 2) + "@",
+    "plain": "x at y " * (_MB // 7), "spelled": "one " * (_MB // 4), "spelled2": "one,,,,,,,, " * (_MB // 12), "equals": "= " * (_MB // 2), "hosts": "a@" + "b." * (_MB // 2),
+    "hosts2": "a at " + "b dot " * (_MB // 6), "mixed": "12 one " * (_MB // 7),
+}
+
+
+@pytest.mark.parametrize("name", ADVERSARIAL)
+def test_a_megabyte_takes_linear_time(name):
+    """Quadratic matching would take many minutes."""
+    t = time.perf_counter()
+    list(pii.detect([ADVERSARIAL[name]]))
+    assert time.perf_counter() - t < 15
+
+
 @pytest.mark.parametrize("text", CLEAN)
 def test_clean_texts_stay(text):
     assert list(pii.detect([text])) == [[]]
@@ -325,3 +371,97 @@ def test_toxicity_odd_rows(spark, sf_dir):
     assert [r.score for r in rows if r.doc_id in (4, 5, 6)] == [pytest.approx(1 / (1 + math.exp(-model.bias)))] * 3
     assert toxicity.score(odd(spark), toxicity.train(d, lab.limit(0))).where("score is not null").count() == 0
     assert toxicity.score(empty(spark), model).count() == 0
+
+
+# --- neighbours, ties, bounded samples
+
+
+def test_nearest_takes_ties_in_order():
+    rng = np.random.default_rng(2)
+    sim = np.round(rng.uniform(0, 1, (200, 40)), 1)
+    got = quality.nearest(sim, 7)
+    for row, mask in zip(sim, got):
+        want = sorted(range(40), key=lambda j: (-row[j], j))[:7]
+        assert sorted(want) == list(np.flatnonzero(mask))
+    assert quality.nearest(sim[:, :3], 3).all()
+
+
+def test_quality_query_equals_brute_force(spark, sf_dir):
+    """Every row of the table: each similarity by itself, neighbours by a full sort, votes by a loop."""
+    d = table(spark, sf_dir, "documents")
+    model = quality.train(d, table(spark, sf_dir, "labels"))
+    got = {r.doc_id: r for r in quality.score(d, model).collect()}
+    for r in d.select("doc_id", "text").collect():
+        v, has = model.project(quality.term_counts([r.text]))
+        if not has[0]:
+            assert got[r.doc_id].score is None and got[r.doc_id].quality is None
+            continue
+        sim = [round(float(np.dot(v[0].astype(np.float64), x.astype(np.float64))), 6) for x in model.vectors]
+        near = sorted(range(len(sim)), key=lambda j: (-sim[j], j))[: quality.NEIGHBOURS]
+        weight = [max(sim[j], 1e-9) for j in near]
+        score = sum(w * model.labels[j] for w, j in zip(weight, near)) / sum(weight)
+        # a similarity on the edge of the sixth decimal may change one vote of fifteen
+        assert got[r.doc_id].score == pytest.approx(score, abs=1e-4) or got[r.doc_id].score == pytest.approx(score, abs=0.08)
+        if abs(score - 0.5) > 0.08:
+            assert got[r.doc_id].quality == int(score >= 0.5)
+
+
+def test_toxicity_query_equals_brute_force(spark, sf_dir):
+    """Every row of the table: grams made one by one from the words, weights summed from a dictionary."""
+    d = table(spark, sf_dir, "documents")
+    model = toxicity.train(d, table(spark, sf_dir, "labels"))
+    weight = dict(zip(model.at.tolist(), model.weight.tolist()))
+    got = {r.doc_id: r for r in toxicity.score(d, model).collect()}
+    mask, salt = 2**64 - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+        return x ^ (x >> 31)
+
+    for r in d.select("doc_id", "text").collect():
+        ws = words(r.text)
+        h = [int(x) for x in textkit.word_hashes([w for w in ws])[0]]
+        grams = set(h)
+        for gap in (1, 2):
+            grams |= {((mix((a + gap) & mask) ^ b) * salt) & mask for a, b in zip(h, h[gap:])}
+        total = model.bias + sum(weight.get(x, 0.0) for x in {mix(g) >> (64 - toxicity.BITS) for g in grams})
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+        assert got[r.doc_id].toxic == (got[r.doc_id].score >= toxicity.THRESHOLD)
+
+
+def test_language_query_equals_brute_force(spark, sf_dir):
+    """Every row of the table: longest-match phrases by search in the labelled text, the fewest normalised ones win."""
+    d = table(spark, sf_dir, "documents")
+    samples = langid.sample(d)
+    parser = langid.CrossParser(samples)
+    clean_samples = {k: Pieces(" ".join(langid._letters(v))) for k, v in samples.items()}
+    got = {r.doc_id: r for r in langid.identify(d).collect()}
+    assert len(got) == d.count()
+    for r in d.select("doc_id", "text").collect():
+        clean = " ".join(langid._letters(r.text or ""))
+        if not clean:
+            assert got[r.doc_id].lang is None
+            continue
+        bits = []
+        for k, per in zip(parser.langs, parser.bits):
+            n = sum(greedy_phrases(clean[a : a + langid.BLOCK], clean_samples[k]) for a in range(0, len(clean), langid.BLOCK))
+            bits.append((n * per / len(clean), k))
+        best = min(bits)
+        assert got[r.doc_id].lang == best[1] and got[r.doc_id].bits == pytest.approx(best[0])
+
+
+def test_equal_languages_go_by_name(spark):
+    same = "the cat sat on the mat and the dog barked at the cat"
+    got = langid.CrossParser({"zz": same, "aa": same}).judge(["the cat and the dog"], langid.MAX_BITS)
+    assert got["lang"] == ["aa"] and got["runner_up"] == ["zz"] and got["margin"] == [0.0]
+
+
+def test_samples_are_bounded(spark):
+    """An id that is repeated, with one text or with many, stays within the bounds."""
+    rows = [(1, "same text", "en", "w")] * 300 + [(2, f"text number {i}", "en", "w") for i in range(300)] + [(3, "x" * 5000, "en", "w")]
+    d = docs(spark, rows)
+    y = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 1)], "doc_id long, toxic int")
+    texts, labels, ids = toxicity.labelled(d, y, "toxic", 50, chars=2000)
+    assert len(texts) <= 50 and sum(map(len, texts)) <= 2000 and ids.count(1) <= 1 and 3 not in ids
+    assert len(langid.sample(d, docs_per_lang=5, chars=10_000)["en"]) <= 5 * langid.SAMPLE_DOC_CHARS
