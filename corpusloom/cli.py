@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib.util
 import sys
 from pathlib import Path
 
@@ -26,6 +27,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--output", help="folder of the documents")
     p.add_argument("--instruction-file")
     p.add_argument("--no-security", action="store_true")
+    p.add_argument("--no-cache", action="store_true", help="extract every file again and keep no snapshot")
+    p.add_argument("--verbose", action="store_true", help="print the configuration")
     p.add_argument("--profile", choices=PROFILES, default="standard")
     p.add_argument("--fail-on-warning", action="store_true")
     p.add_argument("--fail-on-secret", action="store_true")
@@ -52,11 +55,24 @@ def git_context(spark: SparkSession, root: str, cfg: project.ProjectConfig) -> d
     return out
 
 
-def analyse(spark: SparkSession, root: str, cfg: project.ProjectConfig) -> analysis.Analysis:
-    files = scan.scan(spark, root, cfg.scan(root)).select("path", "src")
+#: Folder of the snapshots below the root.
+CACHE = ".corpusloom-cache"
+
+
+def analyse(spark: SparkSession, root: str, cfg: project.ProjectConfig, cache: bool = True) -> analysis.Analysis:
+    files = scan.scan(spark, root, cfg.scan(root))
     packages = spark.createDataFrame([(x,) for x in aliases.package_names(root)], "name string")
     names = aliases.bare_names(files).unionByName(packages)
-    return analysis.analyse(files, cfg.rules, aliases.import_aliases(root), names, cfg.security_enabled)
+    return analysis.analyse(
+        files, cfg.rules, aliases.import_aliases(root), names, cfg.security_enabled,
+        chunk_tokens=cfg.chunk_max_tokens, cache=str(Path(root) / CACHE) if cache else None,
+    )
+
+
+def optional_dependencies() -> dict[str, bool]:
+    """Which optional packages can be imported, by the name they are installed under."""
+    names = {"pyyaml": "yaml", "pathspec": "pathspec", "jinja2": "jinja2", "tiktoken": "tiktoken", "pydub": "pydub", "pyttsx3": "pyttsx3"}
+    return {label: importlib.util.find_spec(module) is not None for label, module in names.items()}
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -73,7 +89,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.no_security:
         cfg = project.replace(cfg, security_enabled=False)
     spark = spark or local_session()
-    a = analyse(spark, str(root), cfg)
+    if args.verbose:
+        print(f"configuration: {cfg}", file=sys.stderr)
+    a = analyse(spark, str(root), cfg, not args.no_cache)
     git = git_context(spark, str(root), cfg)
     if args.serve:
         changes = gitlog.change_frequency(spark, str(root), cfg.git_sort_max_commits) if gitlog.is_repo(str(root)) else None
@@ -86,7 +104,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     report = payload.report(a, root.name, text, git, cfg.security_enabled)
     print(", ".join(f"{k}: {v}" for k, v in report.stats.items()))
     if args.diagnostics:
-        print(report.diagnostics)
+        print(report.diagnostics | {"optional_dependencies": optional_dependencies()})
     if args.tour:
         print(tour.script(root.name, [r.asDict() for r in tour.overview(a.files).collect()]))
     if not args.summary_only:

@@ -49,16 +49,20 @@ def camel_words(symbol: Column) -> Column:
     return F.split(F.lower(F.regexp_replace(symbol, "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_")), "_")
 
 
-def glob_regex(pattern: str) -> str:
-    """Java regex of an fnmatch pattern; ``*`` crosses ``/``."""
+def glob_regex(pattern: str, within: bool = False) -> str:
+    """Java regex of an fnmatch pattern; ``*`` crosses ``/`` unless ``within``."""
+    any_ = "[^/]" if within else "."
     out, i = "", 0
     while i < len(pattern):
         c = pattern[i]
         i += 1
         if c == "*":
-            out += ".*"
+            out += any_ + "*"
         elif c == "?":
-            out += "."
+            out += any_
+        elif c == "\\" and within and i < len(pattern):
+            out += re.escape(pattern[i])
+            i += 1
         elif c == "[":
             j = i + (pattern[i : i + 1] in ("!", "]"))
             while j < len(pattern) and pattern[j] != "]":

@@ -9,6 +9,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from corpusloom.functions import rules, text as X
 from corpusloom.functions.rules import RuleConfig
 
+#: The record of a file that could not be read or parsed.
+FAILED = {
+    "file_type": "module", "type_confidence": 0.3, "domain": "core", "domain_confidence": 0.3, "secondary_domain": None,
+    "layer": "unknown", "criticality": "supporting", "entrypoint": False, "complexity_label": "low", "complexity_score": 0,
+}
+
+
 def entrypoint(main_guard: Column, listens: Column) -> Column:
     named = F.expr(
         f"array_contains({X.sql_array(rules.ENTRY_NAMES)}, lower(element_at(split(path, '/'), -1)))"
@@ -211,7 +218,7 @@ def classify(records: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame
             "complexity_score": X.half_even(total(comp)).cast("int"),
         }
     )
-    return out.withColumns(
+    out = out.withColumns(
         {
             "criticality": criticality(F.col("file_type"), F.col("criticality_score"), config),
             "complexity_label": complexity_label(F.col("complexity_score")),
@@ -219,6 +226,7 @@ def classify(records: DataFrame, config: RuleConfig = RuleConfig()) -> DataFrame
             "description": description(F.col("file_type"), F.col("domain")),
         }
     ).drop("ft", "dom", "points")
+    return out.withColumns({c: F.when(F.col("failed"), F.lit(v)).otherwise(F.col(c)) for c, v in FAILED.items()})
 
 
 def _warning(x: Column) -> Column:

@@ -52,6 +52,8 @@ COLUMNS = [
         "array<struct<line:int,rank:int,label:string>>",
         pa.list_(pa.struct([("line", pa.int32()), ("rank", pa.int32()), ("label", pa.string())])),
     ),
+    ("chunks", "array<string>", NAMES),
+    ("failed", "boolean", pa.bool_()),
 ]
 
 
@@ -184,8 +186,46 @@ def suffix_of(path: str) -> str:
     return name[at:].lower() if 0 < at < len(name) - 1 else ""
 
 
-def facts(path: str, src: str, security: bool, parsers: dict[str, Parser]) -> tuple:
-    """The values of ``COLUMNS`` for one file."""
+def packed(parts: list[str], budget: int) -> list[str]:
+    """Consecutive parts joined to chunks of at most ``budget`` tokens of four characters; a longer part is one chunk."""
+    out: list[list[str]] = []
+    tokens = 0
+    for p in parts:
+        k = len(p) // 4
+        if not out or tokens + k > budget:
+            out.append([])
+            tokens = 0
+        out[-1].append(p)
+        tokens += k
+    return ["\n".join(x) for x in out]
+
+
+def chunks_of(path: str, src: str, budget: int) -> list[str]:
+    """Chunks by top-level node for Python that parses, by line for everything else."""
+    if suffix_of(path) == ".py":
+        try:
+            return packed([ast.unparse(n) for n in ast.iter_child_nodes(ast.parse(src))], budget)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            pass
+    return packed(src.splitlines(), budget)
+
+
+#: What is known of a file that cannot be read or whose parser fails.
+_FAILED = tuple(True if c == "failed" else [] if c in ("content_domains", "probes", "secrets", "chunks", "functions", "classes", "exports", "specs", "bases")
+                else False if t == "boolean" else 0 if t == "int" else None for c, t, _ in COLUMNS[1:])
+
+
+def facts(path: str, src: str | None, security: bool, parsers: dict[str, Parser], chunk_tokens: int | None = None) -> tuple:
+    """The values of ``COLUMNS`` for one file; a null source or a parser that raises gives a failed record."""
+    if src is None:
+        return (path, *_FAILED)
+    try:
+        return _facts(path, src, security, parsers, chunk_tokens)
+    except Exception:  # noqa: BLE001  one file's parser, which may be a user's, must not end the job
+        return (path, *_FAILED)
+
+
+def _facts(path: str, src: str, security: bool, parsers: dict[str, Parser], chunk_tokens: int | None) -> tuple:
     sfx, low, ls = suffix_of(path), src.lower(), src.splitlines()
     parser = parsers.get(sfx)
     got = parser(src) if parser else {}
@@ -205,6 +245,8 @@ def facts(path: str, src: str, security: bool, parsers: dict[str, Parser]) -> tu
         max(depth, default=0),
         sum(len(x) > 120 for x in ls),
         [] if skip else find_secrets(src, low, ls),
+        [] if chunk_tokens is None else chunks_of(path, src, chunk_tokens),
+        False,
     )
 
 
@@ -212,13 +254,22 @@ def secret_warning(x: Column) -> Column:
     return F.concat(F.lit("Possible secret detected: "), x["label"], F.lit(" (line "), x["line"].cast("string"), F.lit(")"))
 
 
-def features(files: DataFrame, security: bool = True) -> DataFrame:
-    """One narrow row (``COLUMNS``) for each file (``path, src``); a null source is an empty one."""
+def _text(src: str | bytes | None) -> str | None:
+    """A source as text, invalid bytes dropped."""
+    return src.decode("utf-8", errors="ignore") if isinstance(src, bytes) else src
+
+
+def features(files: DataFrame, security: bool = True, chunk_tokens: int | None = None) -> DataFrame:
+    """One row (``COLUMNS``) for each file (``path, src``; text or bytes).
+
+    Rows are narrow unless ``chunk_tokens`` is given: then ``chunks`` holds the
+    text in chunks of so many tokens.
+    """
     parsers = dict(PARSERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [facts(p.as_py(), s.as_py() or "", security, parsers) for p, s in zip(b.column(0), b.column(1))]
+            rows = [facts(p.as_py(), _text(s.as_py()), security, parsers, chunk_tokens) for p, s in zip(b.column(0), b.column(1))]
             cols = list(zip(*rows)) if rows else [()] * len(COLUMNS)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, _, t) in zip(cols, COLUMNS)], names=[n for n, _, _ in COLUMNS])
 
@@ -258,27 +309,11 @@ def chunk_plan(files: DataFrame, budget: int = CHUNK_TOKENS) -> DataFrame:
 def ast_chunks(files: DataFrame, budget: int = CHUNK_TOKENS) -> DataFrame:
     """``path, chunk, text`` of Python files, packed by top-level node; lines where it does not parse."""
 
-    def pack(pieces: list[str]) -> list[str]:
-        out: list[list[str]] = [[]]
-        tokens = 0
-        for p in pieces:
-            k = len(p) // 4
-            if tokens + k > budget and out[-1]:
-                out.append([])
-                tokens = 0
-            out[-1].append(p)
-            tokens += k
-        return ["\n".join(x) for x in out if x]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for p, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                try:
-                    parts = [ast.unparse(n) for n in ast.iter_child_nodes(ast.parse(s))]
-                except (SyntaxError, ValueError, RecursionError, MemoryError):
-                    parts = s.splitlines()
-                rows += [(p, i, c) for i, c in enumerate(pack(parts))]
+            for p, s in zip(b.column(0), b.column(1)):
+                rows += [(p.as_py(), i, c) for i, c in enumerate(chunks_of(p.as_py(), s.as_py(), budget))]
             cols = list(zip(*rows)) if rows else [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string()))],

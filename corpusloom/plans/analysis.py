@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from corpusloom.functions.rules import RuleConfig
 from corpusloom.operators import classify, extract, graph, resolve, score
 from corpusloom.session import cut
+from corpusloom.sources import snapshot
 
 
 @dataclass
@@ -24,9 +27,41 @@ class Analysis:
         return self.files.select("path")
 
 
-def records(files: DataFrame, config: RuleConfig = RuleConfig(), aliases=None, bare_names=None, security: bool = True):
+def extracted(
+    files: DataFrame, security: bool = True, chunk_tokens: int | None = None, cache: str | None = None, config_hash: str = ""
+) -> DataFrame:
+    """Features of ``files``, cut.
+
+    With a ``cache`` folder, ``files`` has ``mtime`` and ``size`` too; only files
+    without a record of their path, time, size and configuration are extracted,
+    and the new snapshot of all records is written beside the older ones.
+    """
+    if cache is None:
+        return cut(extract.features(files, security, chunk_tokens))
+    spark = files.sparkSession
+    columns = [n for n, _, _ in extract.COLUMNS]
+    keyed = files.withColumn("key", snapshot.cache_key(f"{config_hash}/{security}/{chunk_tokens}"))
+    stored = snapshot.load(spark, cache, "key string, " + ", ".join(f"{n} {t}" for n, t, _ in extract.COLUMNS))
+    if not set(columns) <= set(stored.columns):  # written by another version
+        stored = stored.limit(0).select("key", *(F.lit(None).cast(t).alias(n) for n, t, _ in extract.COLUMNS))
+    old = snapshot.hits(keyed, stored).select("key", *columns)
+    new = extract.features(snapshot.misses(keyed, stored).select("path", "src"), security, chunk_tokens)
+    now = old.unionByName(new.join(keyed.select("path", "key"), "path").select("key", *columns))
+    folder = snapshot.store(now, cache, time.time_ns() // 1_000_000)
+    return spark.read.parquet(folder).select(*columns)
+
+
+def records(
+    files: DataFrame,
+    config: RuleConfig = RuleConfig(),
+    aliases=None,
+    bare_names=None,
+    security: bool = True,
+    chunk_tokens: int | None = None,
+    cache: str | None = None,
+):
     """Classified features with dependencies, and the resolved imports; both are cut."""
-    feats = cut(extract.features(files, security))
+    feats = extracted(files, security, chunk_tokens, cache, hashlib.sha256(repr(config).encode()).hexdigest()[:16])
     resolved = cut(resolve.resolve(resolve.import_specs(feats), feats.select("path"), aliases, bare_names))
     none = F.array().cast("array<string>")
     joined = feats.join(resolve.dependencies(resolved), "path", "left").withColumns(
@@ -51,6 +86,6 @@ def graded(recs: DataFrame, resolved: DataFrame) -> Analysis:
     return Analysis(cut(score.contexts(score.with_scores(full))), edges, resolved)
 
 
-def analyse(files: DataFrame, config: RuleConfig = RuleConfig(), aliases=None, bare_names=None, security: bool = True) -> Analysis:
-    """All per-file and graph columns of ``files`` (``path, src``)."""
-    return graded(*records(files, config, aliases, bare_names, security))
+def analyse(files: DataFrame, config: RuleConfig = RuleConfig(), aliases=None, bare_names=None, security: bool = True, **kept) -> Analysis:
+    """All per-file and graph columns of ``files`` (``path, src``); ``kept`` are ``chunk_tokens`` and ``cache`` of ``records``."""
+    return graded(*records(files, config, aliases, bare_names, security, **kept))

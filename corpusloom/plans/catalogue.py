@@ -479,6 +479,18 @@ def ignore_rules(spark, sf_dir):
     return corpus(spark, sf_dir).select("path", scan.gitignored(F.col("path"), _IGNORE).alias("ignored"))
 
 
+_GIT_IGNORE = ["docs/", "/web/**/main_*", "*.json", "!user_*.json", "src/*/cache_client_*"]
+
+
+@query(f"""WITH {CORPUS_SQL}, x AS (SELECT path, string_split(path, '/') AS p, string_split(path, '/')[-1] AS name FROM corpus)
+SELECT path, CASE WHEN p[1] = 'src' AND len(p) > 2 AND p[3] LIKE 'cache\\_client\\_%' ESCAPE '\\' THEN true
+  WHEN name LIKE 'user\\_%.json' ESCAPE '\\' THEN false WHEN name LIKE '%.json' THEN true
+  WHEN p[1] = 'web' AND name LIKE 'main\\_%' ESCAPE '\\' THEN true ELSE list_contains(p[1:len(p) - 1], 'docs') END AS ignored FROM x""")
+def ignore_rules_git(spark, sf_dir):
+    """An ignore file as git reads it: folders at any depth, patterns bound to the root, ``**``, the last match wins."""
+    return corpus(spark, sf_dir).select("path", scan.git_ignored(F.col("path"), _GIT_IGNORE).alias("ignored"))
+
+
 @query(f"WITH {CORPUS_SQL} SELECT path FROM corpus WHERE doc_id % 3 = 0")
 def incremental_misses(spark, sf_dir):
     """Files whose size differs from the stored snapshot need analysis again."""

@@ -50,7 +50,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             have = tempfile.mkdtemp(prefix="corpusloom-ckpt-")
-            fs, path = _file_system(spark, have)
+            fs, path = file_system(spark, have)
             fs.deleteOnExit(path)
         sc.setCheckpointDir(have)
     return have
@@ -64,14 +64,15 @@ def scratch(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
         folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/corpusloom-{app}-{uuid.uuid4().hex[:8]}"
-        fs, path = _file_system(spark, folder)
+        fs, path = file_system(spark, folder)
         fs.mkdirs(path)
         fs.deleteOnExit(path)
         _SCRATCH[app] = folder
     return _SCRATCH[app]
 
 
-def _file_system(spark: SparkSession, folder: str) -> tuple:
+def file_system(spark: SparkSession, folder: str) -> tuple:
+    """The Hadoop file system of a path or URI, and the path in it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
@@ -97,7 +98,7 @@ def free(*frames: DataFrame | None) -> None:
     for df in frames:
         path = None if df is None else df.__dict__.pop("_cut_path", None)
         if path is not None:
-            fs, at = _file_system(df.sparkSession, path)
+            fs, at = file_system(df.sparkSession, path)
             fs.delete(at, True)
 
 

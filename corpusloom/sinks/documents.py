@@ -13,6 +13,7 @@ from itertools import islice
 from typing import TextIO
 from xml.sax.saxutils import XMLGenerator
 
+from corpusloom.sinks import payload
 from corpusloom.sinks.payload import Report
 
 _BARE = re.compile(r"^[A-Za-z_][A-Za-z0-9_./\-]*$")
@@ -183,6 +184,10 @@ def top_parts(parts: dict, k: int = 3) -> str:
     return ", ".join(f"{n}:{v:.1f}" for n, v in best) or "-"
 
 
+def _classification(f: dict) -> dict:
+    return (f["hints"] or {}).get("classification") or {}
+
+
 def write_markdown(r: Report, out: TextIO) -> None:
     s = r.stats
     lines = [f"# Corpus report: `{r.project}`", f"> {r.generated_at}, version {r.version}", "", "## Overview"]
@@ -196,7 +201,7 @@ def write_markdown(r: Report, out: TextIO) -> None:
     warned = list(islice((f for f in r.files() if f["warnings"]), 20))
     for f in warned:
         lines += [f"### `{f['file']}`", *(f"- {w}" for w in f["warnings"][:3])]
-        if evidence := f["hints"]["classification"]["domain_evidence"]:
+        if evidence := _classification(f).get("domain_evidence"):
             lines.append("- Evidence: " + ", ".join(f"{k}:{v:.1f}" for k, v in list(evidence.items())[:3]))
     out.write("\n".join(lines if warned else [*lines, "None."]) + "\n")
 
@@ -205,7 +210,7 @@ _PAGE = """<!doctype html><html lang="en"><meta charset="utf-8"><title>{title}</
 <style>body{{font:14px system-ui;margin:2em}}table{{border-collapse:collapse}}td,th{{padding:.2em .7em;border-bottom:1px solid #ccc;text-align:left}}</style>
 <h1>{title}</h1><p>{summary}</p><h2>Hotspots</h2>{hot}<h2>Modules</h2>{mods}<h2>Files</h2>
 <input id="q" placeholder="filter"><select id="c"><option value="">all<option>critical<option>infra<option>config<option>supporting</select>
-<table id="t"><tr><th>File<th>Type<th>Domain<th>Criticality<th>Priority<th>Fan-in<th>Blast radius<th>Warnings</tr>
+<table id="t"><tr><th>File<th>Role<th>Domain<th>Criticality<th>Entrypoint<th>Priority<th>Score<th>Fan-in<th>Blast radius<th>Effort<th>Evidence<th>Warnings</tr>
 """
 _SCRIPT = """</table><script>
 const q=document.getElementById("q"),c=document.getElementById("c"),go=()=>{for(const r of document.querySelectorAll("#t tr[data-c]"))
@@ -220,12 +225,16 @@ def _table(rows: list[list]) -> str:
 
 def write_html(r: Report, out: TextIO) -> None:
     s = ", ".join(f"{k.replace('_', ' ')}: {v}" for k, v in r.stats.items())
-    hot = _table([[h["file"], h["priority_score"], h["domain"], h["criticality"]] for h in r.hotspots])
+    hot = _table([[h["file"], h["priority_score"], h["domain"], h["criticality"]] for h in r.dashboard or r.hotspots])
     mods = _table([[m["module"], m["n_files"], m["sample"]] for m in r.module_summary])
     summary = escape(f"{s}; health {r.health.get('health', 1.0):.2f}")
     out.write(_PAGE.format(title=escape(r.project), summary=summary, hot=hot, mods=mods))
     for f in r.files():
-        cells = [f["file"], f["file_type"]["value"], f["domain"]["value"], f["criticality"], f["priority_score"], f["fan_in"], f["blast_radius"], "; ".join(f["warnings"])]
+        evidence = ", ".join(f"{k}: {v:.1f}" for k, v in list((_classification(f).get("domain_evidence") or {}).items())[:3])
+        cells = [
+            f["file"], f["role_hint"], f["domain"]["value"], f["criticality"], "yes" if f["entrypoint"] else "", f["priority_score"],
+            top_parts(f["priority_breakdown"]), f["fan_in"], f["blast_radius"], f"{f['refactor_effort']:.1f}", evidence, "; ".join(f["warnings"][:3]),
+        ]
         out.write(f'<tr data-c="{escape(f["criticality"])}">' + "".join(f"<td>{escape(str(x))}" for x in cells) + "</tr>\n")
     out.write(_SCRIPT)
 
@@ -239,6 +248,7 @@ def write(r: Report, folder: str, formats: list[str], name: str = "corpus_report
     """Writes the documents into ``folder`` and returns their paths."""
     out = []
     for fmt in formats:
+        payload.validate(payload.sections(r), fmt)
         path = f"{folder}/{name}.{fmt}"
         with open(path, "w", encoding="utf-8") as f:
             WRITERS[fmt](r, f)

@@ -18,7 +18,7 @@ from corpusloom import __version__
 from corpusloom.operators import score
 from corpusloom.plans.analysis import Analysis
 
-TOP_HOTSPOTS = 15
+TOP_HOTSPOTS, TOP_DASHBOARD = 15, 20
 
 
 @dataclass
@@ -30,6 +30,7 @@ class Report:
     diagnostics: dict
     files: Callable[[], Iterator[dict]]
     edges: Callable[[], Iterator[tuple[str, str]]]
+    dashboard: list[dict] = field(default_factory=list)
     module_summary: list[dict] = field(default_factory=list)
     health: dict = field(default_factory=dict)
     instruction: str = ""
@@ -62,7 +63,7 @@ def file_rows(files: DataFrame) -> DataFrame:
         F.concat("external", "internal").alias("dependencies"),
         F.col("internal").alias("internal_dependencies"),
         "fan_in", "fan_out", "pagerank", "warnings", "is_in_cycle", "impact_radius", "refactor_effort", "blast_radius",
-        "module_doc", "docstrings", "type_hints", hints().alias("hints"),
+        "module_doc", "docstrings", "type_hints", hints().alias("hints"), "chunks",
     )
 
 
@@ -90,6 +91,80 @@ def hotspot_rows(files: DataFrame, n: int = TOP_HOTSPOTS) -> DataFrame:
     )
 
 
+#: Short and long name of each field of a file, with what stands for a missing value.
+_FIELDS = [
+    ("sd", "secondary_domain", None), ("cl", "complexity_label", "low"), ("cs", "complexity_score", 0), ("ps", "priority_score", 0),
+    ("pb", "priority_breakdown", {}), ("cx", "context", ""), ("rh", "role_hint", ""), ("deps", "dependencies", []),
+    ("ideps", "internal_dependencies", []), ("fi", "fan_in", 0), ("fo", "fan_out", 0), ("pr", "pagerank", 0.0), ("warns", "warnings", []),
+    ("ir", "impact_radius", 0), ("re", "refactor_effort", 0.0), ("br", "blast_radius", 0), ("docs", "docstrings", {}),
+    ("th", "type_hints", {}), ("module_doc", "module_doc", None), ("chunks", "chunks", []),
+]
+_CRITICALITY = {"c": "critical", "f": "config", "i": "infra", "s": "supporting"}
+_LAYER = {"p": "presentation", "a": "application", "d": "domain", "i": "infrastructure", "u": "unknown"}
+
+
+def normalised(record: dict, path: str = "") -> dict:
+    """The full form of one file's record in the full or the short form; missing fields get their defaults."""
+
+    def typed(x) -> dict:
+        known = isinstance(x, dict) and {"value", "confidence"} <= set(x)
+        return {"value": x["value"], "confidence": x["confidence"]} if known else {"value": "", "confidence": 0.0}
+
+    def word(long: str, short: str, words: dict, other: str) -> str:
+        found = [x for x in (record.get(long), record.get(short)) if isinstance(x, str) and x]
+        return words.get(found[0], found[0]) if found else other
+
+    caps = record.get("caps") or record.get("capabilities") or {}
+    out = {
+        "file": str(record.get("f") or record.get("file") or path),
+        "file_type": typed(record.get("ft") or record.get("file_type")),
+        "domain": typed(record.get("d") or record.get("domain")),
+        "layer": word("layer", "l", _LAYER, "unknown"),
+        "criticality": word("criticality", "c", _CRITICALITY, "supporting"),
+        "entrypoint": bool(record.get("ep") or record.get("entrypoint")),
+        "is_in_cycle": bool(record.get("cyc") or record.get("is_in_cycle")),
+        "capabilities": {k: list(caps.get(s) or caps.get(k) or []) for s, k in (("fn", "functions"), ("cl", "classes"), ("ex", "exports"))},
+    }
+    out["hints"] = {"description": "", "keywords": [], "classification": {}} | (record.get("hints") or {})
+    for short, long, other in _FIELDS:
+        x = record.get(short) or record.get(long) or other
+        out[long] = type(other)(x) if isinstance(other, (int, float, list)) else x
+    return out
+
+
+#: Sections that a document of each format cannot do without.
+REQUIRED = {f: ["files", "stats"] for f in ("json", "toon", "xml", "html")} | {"md": []}
+REQUIRED["html"] = [*REQUIRED["html"], "dependency_graph"]
+REQUIRED["xml"] = [*REQUIRED["xml"], "hotspots"]
+
+
+def validate(sections: dict, fmt: str) -> None:
+    """Raises ``ValueError`` that names the sections a document of this format lacks."""
+    missing = [k for k in ("generated_at", "project", "version", *REQUIRED.get(fmt, [])) if sections.get(k) is None]
+    if missing:
+        raise ValueError(f"a {fmt} document needs {', '.join(missing)}")
+
+
+def sections(r: Report) -> dict:
+    """The parts of a report by their names in documents."""
+    return {
+        "version": r.version, "project": r.project, "generated_at": r.generated_at, "stats": r.stats, "files": r.files,
+        "hotspots": r.hotspots, "dependency_graph": r.edges, "modules": r.modules, "diagnostics": r.diagnostics,
+    }
+
+
+def of_records(project: str, records: dict[str, dict], **parts) -> Report:
+    """A report over records in either form, as read back from a document; ``parts`` are fields of ``Report``."""
+    files = [normalised(x, path) for path, x in records.items()]
+    stats = {
+        "total_files": len(files), "critical_files": sum(f["criticality"] == "critical" for f in files),
+        "entrypoints": sum(f["entrypoint"] for f in files), "domains": len({f["domain"]["value"] for f in files}),
+    }
+    graph = [(f["file"], d) for f in files for d in f["internal_dependencies"]]
+    given = dict(stats=stats, hotspots=[], modules={}, diagnostics={}, files=lambda: iter(files), edges=lambda: iter(graph)) | parts
+    return Report(project=project, **given)
+
+
 def report(a: Analysis, project: str, instruction: str = "", git: dict | None = None, security: bool = True) -> Report:
     files = file_rows(a.files).orderBy("file")
     edges = a.edges.orderBy("src", "dst")
@@ -98,6 +173,7 @@ def report(a: Analysis, project: str, instruction: str = "", git: dict | None =
         project=project,
         stats=score.project_stats(a.files).first().asDict(),
         hotspots=[r.asDict(True) for r in hotspot_rows(a.files).collect()],
+        dashboard=[r.asDict(True) for r in hotspot_rows(a.files, TOP_DASHBOARD).collect()],
         modules={r.module: r.files for r in score.modules(a.files).orderBy("module").toLocalIterator()},
         diagnostics=diagnostics,
         files=lambda: (r.asDict(True) for r in files.toLocalIterator(True)),

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from corpusloom.session import file_system
+
 
 def cache_key(config_hash: str) -> Column:
     """Key of a file's record; a changed configuration misses too."""
@@ -24,9 +26,8 @@ def hits(files: DataFrame, stored: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The newest complete snapshot, or an empty one where there is none."""
-    jvm = spark.sparkContext._jvm
-    marks = jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")
-    found = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks)
+    fs, marks = file_system(spark, f"{path}/v*/_SUCCESS")
+    found = fs.globStatus(marks)
     folders = sorted((str(f.getPath().getParent()) for f in found or []), key=lambda p: p.rsplit("/", 1)[-1])
     return spark.read.parquet(folders[-1]) if folders else spark.createDataFrame([], schema)
 

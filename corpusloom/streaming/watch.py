@@ -2,18 +2,17 @@
 
 Each micro-batch overwrites its own folder, so a batch that is run again after
 a failure leaves one result.  Only row-local features are kept; the graph
-stages start from ``latest``.
+stages start from ``latest``.  Spark's streaming file source leaves out names that
+begin with ``_`` or ``.``; ``scan.scan`` takes these too.
 """
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.operators import extract
-from corpusloom.session import ship
+from corpusloom.session import file_system, ship
 from corpusloom.sources import scan
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -24,16 +23,18 @@ def watch(
 ) -> StreamingQuery:
     """Starts the stream; with ``once`` it ends when all present files are done."""
     ship(spark)
-    base = str(Path(root).resolve())
+    base = scan._uri(root)
+    fs, path = file_system(spark, base)
+    base = fs.makeQualified(path).toString()
     raw = (
         spark.readStream.format("binaryFile")
         .schema(FILE_SCHEMA)
         .option("recursiveFileLookup", "true")
-        .load(f"file://{base}")
+        .load(base)
     )
 
     def batch(df: DataFrame, number: int) -> None:
-        files = scan.sources(df, base, config)
+        files = scan.sources(df, scan.below("path", base), config)
         facts = extract.features(files.select("path", "src"))
         facts.join(files.select("path", "size", "mtime"), "path").write.mode("overwrite").parquet(f"{out}/batch={number}")
 

@@ -13,7 +13,7 @@ from corpusloom import cli
 from corpusloom.api import QueryService
 from corpusloom.functions import text as X
 from corpusloom.functions.rules import RuleConfig
-from corpusloom.operators import extract, graph, resolve
+from corpusloom.operators import extract, graph, resolve, score
 from corpusloom.plans import analysis, tour
 from corpusloom.sinks import documents, payload
 from corpusloom.sources import aliases, config, gitlog, scan, snapshot
@@ -170,6 +170,133 @@ def test_ast_chunks_hold_every_node(spark):
     assert all(sum(len(ast.unparse(n)) // 4 for n in ast.parse(t).body) <= 30 for t in mine) and [r.text for r in rows if r.path == "b.py"] == ["def (\nline two"]
 
 
+def test_failed_files_have_a_record(spark):
+    """A source that cannot be read, and a parser that raises."""
+    extract.register([".bad"], lambda src: 1 / 0)
+    try:
+        rows = spark.createDataFrame([("auth/a.py", None), ("auth/b.bad", "x"), ("auth/c.py", "")], "path string, src string")
+        got = {r.path: r for r in analysis.analyse(rows).files.collect()}
+    finally:
+        del extract.PARSERS[".bad"]
+    for p in ("auth/a.py", "auth/b.bad"):
+        r = got[p]
+        assert (r.failed, r.file_type, r.type_confidence, r.domain, r.domain_confidence) == (True, "module", 0.3, "core", 0.3)
+        assert (r.layer, r.criticality, r.complexity_label, r.complexity_score, r.warnings) == ("unknown", "supporting", "low", 0, [score.ORPHAN_WARNING])
+    assert not got["auth/c.py"].failed and got["auth/c.py"].domain == "auth"
+
+
+def test_incremental_analysis(spark, tmp_path):
+    """Only files whose time, size or configuration changed are extracted again."""
+    folder = str(tmp_path / "cache")
+
+    def run(rows, **how):
+        files = spark.createDataFrame(rows, "path string, size long, mtime double, src string")
+        return {r.path: r.functions for r in analysis.extracted(files, cache=folder, **how).collect()}
+
+    first = [("a.py", 1, 1.0, "def one(): pass"), ("b.py", 1, 1.0, "def two(): pass"), ("c.py", 1, 1.0, "")]
+    assert run(first) == {"a.py": ["one"], "b.py": ["two"], "c.py": []}
+    # the same key keeps the record, whatever the source; another time, size or configuration does not; c.py is gone
+    second = [("a.py", 1, 1.0, "def changed(): pass"), ("b.py", 1, 2.0, "def new(): pass")]
+    assert run(second) == {"a.py": ["one"], "b.py": ["new"]}
+    assert run(second, config_hash="other") == {"a.py": ["changed"], "b.py": ["new"]}
+    assert run([], config_hash="other") == {}
+
+
+def test_chunks_reach_the_documents(spark, tmp_path):
+    src = "".join(f"def f{i}(a):\n    return a + {i}\n\n" for i in range(20))
+    a = analysis.analyse(frame(spark, {"a.py": src, "b.txt": "line\n" * 3}), chunk_tokens=30)
+    documents.write(payload.report(a, "demo"), str(tmp_path), ["json"])
+    files = json.loads((tmp_path / "corpus_report.json").read_text())["files"]
+    assert len(files["a.py"]["chunks"]) > 3 and files["b.txt"]["chunks"] == ["line\nline\nline"]
+    assert all(r.chunks == [] for r in analysis.analyse(frame(spark, {"a.py": src})).files.collect())
+
+
+COMPACT = {
+    "f": "src/app.py", "d": {"value": "billing"}, "c": "c", "l": "a", "ep": True, "ps": 88, "fi": 1, "rh": "main entrypoint", "warns": ["warning"],
+    "re": 2.5, "br": 3, "module_doc": "Application entrypoint.", "caps": {"functions": ["main"]}, "internal_dependencies": ["src/db.py"],
+}
+
+
+def test_compact_records_are_read_back(tmp_path):
+    full = payload.normalised(COMPACT)
+    assert (full["criticality"], full["layer"], full["entrypoint"], full["priority_score"]) == ("critical", "application", True, 88)
+    assert full["domain"] == {"value": "", "confidence": 0.0} and full["capabilities"] == {"functions": ["main"], "classes": [], "exports": []}
+    assert payload.normalised(full) == full and payload.normalised({}, "x.py")["file"] == "x.py"
+    r = payload.of_records("demo", {"src/app.py": COMPACT})
+    assert r.stats["critical_files"] == 1 and list(r.edges()) == [("src/app.py", "src/db.py")]
+    documents.write(r, str(tmp_path), list(documents.WRITERS))
+    node = ElementTree.parse(tmp_path / "corpus_report.xml").getroot().find("./files/file")
+    assert node.attrib["criticality"] == "critical" and "critical" in (tmp_path / "corpus_report.html").read_text()
+
+
+def test_documents_without_a_section_are_refused():
+    whole = payload.sections(payload.of_records("demo", {}))
+    for fmt in documents.WRITERS:
+        payload.validate(whole, fmt)
+    for fmt, gone in (("json", "files"), ("xml", "hotspots"), ("html", "dependency_graph"), ("toon", "stats"), ("md", "version")):
+        with pytest.raises(ValueError, match=gone):
+            payload.validate({k: v for k, v in whole.items() if k != gone}, fmt)
+    payload.validate({k: whole[k] for k in ("version", "project", "generated_at")}, "md")
+
+
+GIT_RULES = [
+    ("*.json", ["a.json", "x/a.json", "x/a.json/y"], ["a.jsonx", "json"]), ("docs", ["docs", "docs/a", "x/docs/a"], ["mydocs", "docs2/a"]),
+    ("docs/", ["docs/a", "x/docs/a"], ["docs", "x/docs"]), ("/top", ["top", "top/a"], ["x/top"]), ("a/b", ["a/b", "a/b/c"], ["x/a/b"]),
+    ("a/*.py", ["a/x.py"], ["a/b/x.py", "x/a/y.py"]), ("a/**/z", ["a/z", "a/b/z", "a/b/c/z"], ["z", "b/a/z"]), ("**/x", ["x", "a/x", "a/b/x/y"], ["xx"]),
+    ("x/**", ["x/a", "x/a/b"], ["x", "y/x/a"]), ("f?o[0-9].c", ["fao1.c", "d/fbo2.c"], ["fo1.c", "f/o1.c", "faox.c"]), ("\\#a", ["#a"], ["a"]),
+]
+
+
+def test_ignore_files_as_git_reads_them(spark):
+    paths = sorted({p for _, yes, no in GIT_RULES for p in yes + no})
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    hit = df.select("path", *[scan.git_ignored(F.col("path"), [rule]).alias(f"r{i}") for i, (rule, _, _) in enumerate(GIT_RULES)]).collect()
+    for i, (rule, yes, no) in enumerate(GIT_RULES):
+        got = {r.path for r in hit if r[f"r{i}"]}
+        assert set(yes) <= got and not set(no) & got, (rule, got)
+    last = df.where(scan.git_ignored(F.col("path"), ["# none", "", "*.json", "!x/*.json", "/"]))
+    assert {r.path for r in last.collect()} == {"a.json", "x/a.json/y"} - {"x/a.json/y"}
+
+
+def test_scan_takes_uris_and_odd_names(spark, tmp_path):
+    for name in ("src/a b+c%20d.py", "src/_hidden.py", "src/.git/x.py", "src/deep/é.py"):
+        f = tmp_path / name
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text("x")
+    want = {"src/a b+c%20d.py", "src/_hidden.py", "src/deep/é.py"}
+    for root in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/".replace("file:/", "file:///", 1)):
+        assert {r.path for r in scan.scan(spark, root).collect()} == want
+
+
+def test_scan_of_many_folders(spark, tmp_path, monkeypatch):
+    """Folders walked by tasks give the same files; ignored folders are not entered, unreadable files have no source."""
+    for i in range(12):
+        f = tmp_path / f"src/p{i}/q{i}/r"
+        f.mkdir(parents=True)
+        (f / "__init__.py").write_text(str(i))
+        (f.parent / "node_modules").mkdir()
+        (f.parent / "node_modules/x.py").write_text("x")
+    (tmp_path / "src/loop").symlink_to(tmp_path / "src")
+    whole = {(r.path, r.src) for r in scan.scan(spark, str(tmp_path)).collect()}
+    assert whole == {(f"src/p{i}/q{i}/r/__init__.py", str(i)) for i in range(12)}
+    monkeypatch.setattr(scan, "WALK_FOLDERS", 3)
+    assert {(r.path, r.src) for r in scan.scan(spark, str(tmp_path)).collect()} == whole
+    files = scan.scan(spark, str(tmp_path))
+    (tmp_path / "src/p0/q0/r/__init__.py").unlink()
+    assert [r.path for r in files.where("src is null").collect()] == []  # it is not listed any more
+    (tmp_path / "src/dangling.py").symlink_to(tmp_path / "none")
+    assert "src/dangling.py" not in {r.path for r in scan.scan(spark, str(tmp_path)).collect()}
+
+
+def test_file_that_vanishes_has_no_source(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.py").write_text("x")
+    (tmp_path / "src/b.py").write_text("y")
+    files = scan.scan(spark, str(tmp_path))  # few folders: listed by the driver, at once
+    (tmp_path / "src/b.py").unlink()
+    assert {r.path: r.src for r in files.collect()} == {"src/a.py": "x", "src/b.py": None}
+
+
 def test_empty_corpus(spark):
     a = analysis.analyse(frame(spark, {"a.py": ""}).limit(0))
     assert a.files.count() == 0 and a.edges.count() == 0
@@ -288,6 +415,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("--format", "json", "--output", str(tmp_path / "out"), "--fail-on-secret", "--tour", "--diagnostics") == 2
     assert (tmp_path / "out/corpus_report.json").is_file()
     assert run("--summary-only", "--no-security", "--fail-on-secret") == 0
+    assert (tmp_path / cli.CACHE).is_dir() and "optional_dependencies" in capsys.readouterr().out
+    before = len(list((tmp_path / cli.CACHE).iterdir()))
+    assert run("--summary-only", "--no-cache", "--verbose") == 0 and len(list((tmp_path / cli.CACHE).iterdir())) == before
     assert "total_files: 1" in capsys.readouterr().out
 
 
