@@ -8,12 +8,10 @@ empty and long texts, ties and repeated rows.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.llm import langid, minhash, mixing, packing, pii
-from corpusloom.session import ensure_checkpoint_dir, table
+from corpusloom.session import cut, free, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,13 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``.
+
+    Each result but the last is written to the shared folder and read again; it
+    is removed once the next one is written, the last one when the driver ends.
+    """
     docs = table(spark, sf_dir, "documents")
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            path = f"{folder}/{i}-{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        free(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
