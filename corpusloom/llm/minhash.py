@@ -24,6 +24,7 @@ and ``text`` are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -196,7 +197,9 @@ def near_groups(
         return _verified(cut(_estimated(pairs, sketches, k, threshold - slack)), texts, n, threshold)
 
     def whole_sets(wanted: DataFrame) -> DataFrame:
-        return nearsets.banded_lists(_entries(texts.join(wanted, "node", "left_semi"), n), threshold)
+        some = cut(texts.join(wanted, "node", "left_semi"))
+        hot = nearsets.hot_values(some, partial(_entries, n=n))
+        return nearsets.banded_lists(_entries(some, n), threshold, hot)
 
     comp = nearsets.group(lists, verify, threshold, whole_sets, heavy)
     free(lists, sketches, texts)

@@ -13,11 +13,10 @@ that.  The components are those of the full pair graph: a pair inside one
 component cannot change it, and every other pair of a list is compared.
 
 A family of thousands that share much and yet stay below the threshold would be
-enumerated in full.  Two exact bounds prevent that.  Lists are kept per pair of
-length bands, so ``need`` is nearly what two sets of these sizes must share; a
-family whose common part is smaller has no list at all (``banded_lists``).  And
-a pair is dropped where its positions in a list leave too few values
-(``_enough``).  Lists made from sketches cannot have the first bound; where such
+enumerated in full.  Two exact bounds prevent that.  A set that is to meet larger
+ones has a ``need`` for sets of its own length; in a family of equal lengths whose
+common part is smaller none is met at all (``banded_lists``).  And a pair is
+dropped where its positions in a list leave too few values (``_met``).  Lists made from sketches cannot have the first bound; where such
 a list has more than ``HEAVY`` members of several components, these members are
 listed again by their whole sets (``refine`` of ``group``).
 """
@@ -30,6 +29,7 @@ from math import ceil, log
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.session import cut, free
 
@@ -37,8 +37,8 @@ from corpusloom.session import cut, free
 HEAVY = 128
 #: Edges that one task contracts at once (16 bytes each).
 TASK_EDGES = 1 << 20
-#: Sizes within one length band differ by at most this factor.
-BAND = 1.1
+#: Rows from which a value that they hold counts as hot, and the sampled rows by which it is known.
+HOT_NODES, HOT_SAMPLE = 1 << 21, 1 << 15
 
 
 def inverted_lists(sets: DataFrame) -> DataFrame:
@@ -64,75 +64,106 @@ def overlap_needed(a: Column, b: Column, threshold: float) -> Column:
     return F.ceil(F.lit(threshold / (1 + threshold)) * (a + b) - F.lit(1e-9)).cast("int")
 
 
-def banded_lists(entries: DataFrame, threshold: float) -> DataFrame:
-    """``value, node, size, m, pos, band, other`` for a Jaccard index of ``threshold``, from ``value, node, size``.
+def hot_values(source: DataFrame, entries: Callable[[DataFrame], DataFrame], most: int | None = None) -> DataFrame | None:
+    """``value, df`` of values that about ``most`` rows of ``source`` or more hold, estimated on a sample of these.
 
-    A list's ``value`` stands for a set's value and a pair of length bands, of
-    which the node is in one (``band``, the other is ``other``).  ``m`` counts
-    the node's values that other nodes hold too, ``pos`` is the value's place
-    among them, rarest first.  Entries may be repeated.  A value that a third
-    of all nodes hold is counted by partial sums, and its entries meet the count
-    in a join that adaptive execution splits.
+    There are at most as many as all entries divided by ``most``; None if no value can be one.
     """
-    once = entries.groupBy("value", "node").agg(F.first("size").alias("size"))
-    df = once.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    most = HOT_NODES if most is None else most
+    if source.count() < most:
+        return None
+    share = min(1.0, HOT_SAMPLE / most)
+    counts = entries(source.sample(share, seed=19)).groupBy("value").agg(F.count(F.lit(1)).alias("c"))
+    return cut(counts.where(F.col("c") >= most * share * 0.8).select("value", F.ceil(F.col("c") / share).alias("df")))
+
+
+def banded_lists(entries: DataFrame, threshold: float, hot: DataFrame | None = None) -> DataFrame:
+    """``value, node, size, m, pos, role`` for a Jaccard index of ``threshold``, from ``value, node, size``.
+
+    A list's ``value`` stands for a set's value and a band of lengths.  In the
+    list of its own band a set is met by larger ones (``role`` 0), so its prefix
+    is as short as sets of at least its length allow; in the lists of its own
+    band and the one below it meets smaller ones (``role`` 1).  Bands grow by
+    ``1 / threshold``.  ``m`` counts the node's values that other nodes hold too,
+    ``pos`` is the value's place among them, rarest first.
+
+    Entries may be repeated and are shuffled once, to be counted where they lie;
+    those of ``hot`` values (``value, df``; few, broadcast) are not brought
+    together: their number is known well enough for an order.
+    """
+    cold, rest = entries, None
+    if hot is not None:
+        known = entries.join(F.broadcast(hot), "value", "left")
+        cold = known.where("df is null").drop("df")
+        rest = known.where("df is not null").groupBy("value", "node").agg(F.first("size").alias("size"), F.first("df").alias("df"))
+    once = cold.repartition("value").groupBy("value", "node").agg(F.first("size").alias("size"))
+    counted = once.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("value"))).where("df > 1")
+    if rest is not None:
+        counted = counted.unionByName(rest)
     shared = (
-        once.join(df, "value")
-        .groupBy("node")
+        counted.groupBy("node")
         .agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("s"))
         .withColumn("m", F.size("s"))
     )
-    step = log(BAND)
-    reach = ceil(log(1 / threshold) / step + 1e-9)
-    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(step) + F.lit(1e-9))
-    other = F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach))
-    # the smallest set of the other band, or the smallest that can be similar
-    least = F.greatest(F.exp(F.col("other") * step) * (1 - 1e-6), F.col("size") * threshold)
-    room = F.col("m") - overlap_needed(F.col("size"), least, threshold) + 1
+    band = F.floor(F.log(F.col("size").cast("double")) / F.lit(log(1 / threshold) * (1 - 1e-9))).cast("int")
+    least = F.ceil(F.lit(threshold) * F.col("size") - F.lit(1e-9)).cast("int")
+    roles = F.array(
+        F.struct(F.lit(0).alias("role"), F.col("band"), (F.col("m") - overlap_needed(F.col("size"), F.col("size"), threshold) + 1).alias("room")),
+        *(F.struct(F.lit(1).alias("role"), (F.col("band") - k).alias("band"), (F.col("m") - least + 1).alias("room")) for k in (0, 1)),
+    )
     placed = (
         shared.withColumn("band", band)
-        .withColumn("other", other)
-        .withColumn("room", F.least(room, F.col("m")))
-        .where("room > 0")
-        .select(F.posexplode(F.slice("s", F.lit(1), F.col("room"))).alias("pos", "x"), "node", "size", "m", "band", "other")
+        .withColumn("r", F.explode(roles))
+        .where("r.room > 0")
+        .select(F.posexplode(F.slice("s", F.lit(1), F.least("r.room", "m"))).alias("pos", "x"), "node", "size", "m", "r.role", "r.band")
     )
-    key = F.xxhash64("x.value", F.least("band", "other"), F.greatest("band", "other"))
-    return placed.select(key.alias("value"), "node", "size", "m", "pos", "band", "other")
+    return placed.select(F.xxhash64("x.value", "band").alias("value"), "node", "size", "m", "pos", "role")
 
 
 def long_lists(lists: DataFrame) -> DataFrame:
     """The entries of lists with two members or more."""
-    many = lists.groupBy("value").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("value")
+    many = lists.groupBy("value").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("value")
     return lists.join(many, "value")
 
 
-def _enough(lists: DataFrame, threshold: float) -> Column:
-    """Can two entries ``x, y`` of a list belong to sets as similar as ``threshold``?"""
+def _met(lists: DataFrame, threshold: float) -> Column:
+    """Do two entries ``x, y`` of a list make a pair that may be as similar as ``threshold``?
+
+    Each pair once: ``x`` is the smaller set where the lists know roles, else the smaller node.
+    """
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    if "size" not in lists.columns:
-        return F.lit(True)
-    ok = F.least(x("size"), y("size")) >= F.lit(threshold) * F.greatest(x("size"), y("size"))
-    if "pos" in lists.columns:
+    if "role" not in lists.columns:
+        ok = x("node") < y("node")
+    else:
         most = F.least(x("pos"), y("pos")) + F.least(x("m") - x("pos"), y("m") - y("pos"))
-        ok = ok & (x("band") == y("other")) & (most >= overlap_needed(x("size"), y("size"), threshold))
+        ok = (x("role") == 0) & (y("role") == 1) & (F.struct(x("size"), x("node")) < F.struct(y("size"), y("node")))
+        ok = ok & (most >= overlap_needed(x("size"), y("size"), threshold))
+    if "size" in lists.columns:
+        ok = ok & (F.least(x("size"), y("size")) >= F.lit(threshold) * F.greatest(x("size"), y("size")))
     return ok
 
 
 def star_pairs(lists: DataFrame, threshold: float, known: DataFrame | None = None) -> DataFrame:
-    """Distinct ``a, b``: each list's smallest node with each other one, unless they share a ``known`` component."""
+    """Distinct ``a, b``: each list's first node with each other one, unless they share a ``known`` component.
+
+    The first one is the smallest set that larger ones are to meet, or the smallest node.
+    """
     apart = F.lit(True)
     if known is not None:
         lists = lists.join(known, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         apart = F.col("x.comp") != F.col("y.comp")
-    entry = F.struct("node", *[c for c in lists.columns if c not in ("value", "node")])
-    hubs = lists.groupBy("value").agg(F.min(entry).alias("x"), F.max("node").alias("z")).where("x.node < z")
-    y = lists.select("value", entry.alias("y"))
-    return (
-        y.join(hubs.select("value", "x"), "value")
-        .where((F.col("x.node") < F.col("y.node")) & apart & _enough(lists, threshold))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-    )
+    entry = _entry(lists)
+    first = lists.where("role = 0") if "role" in lists.columns else lists
+    y = lists.where("role = 1") if "role" in lists.columns else lists
+    hubs = first.groupBy("value").agg(F.min(entry).alias("x"))
+    both = y.select("value", entry.alias("y")).join(hubs, "value").where(apart & _met(lists, threshold))
+    return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _entry(lists: DataFrame) -> Column:
+    """An entry without its list; entries are ordered by size, then node, or by node."""
+    ahead = [c for c in ("size", "node") if c in lists.columns] if "role" in lists.columns else ["node"]
+    return F.struct(*ahead, *[c for c in lists.columns if c not in ("value", "members", *ahead)])
 
 
 def mixed_lists(lists: DataFrame, comp: DataFrame) -> DataFrame:
@@ -147,11 +178,11 @@ def mixed_lists(lists: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def cross_pairs(mixed: DataFrame, threshold: float) -> DataFrame:
-    """Distinct ``a < b`` that share a list but no component."""
-    entry = F.struct(*[c for c in mixed.columns if c not in ("value", "members")])
-    x, y = mixed.select("value", entry.alias("x")), mixed.select("value", entry.alias("y"))
-    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
-    both = x.join(y, "value").where(apart & _enough(mixed, threshold))
+    """Distinct pairs ``a, b`` that share a list but no component."""
+    entry = _entry(mixed)
+    x, y = (mixed.where(f"role = {k}") if "role" in mixed.columns else mixed for k in (0, 1))
+    both = x.select("value", entry.alias("x")).join(y.select("value", entry.alias("y")), "value")
+    both = both.where((F.col("x.comp") != F.col("y.comp")) & _met(mixed, threshold))
     return both.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 

@@ -6,10 +6,11 @@ content words apart.  Every anchor may lead.  Navigation and lists hold few
 anchors, so signatures come from running text.  A document is the set of its spots; documents with a
 Jaccard index of ``THRESHOLD`` or more share a fingerprint group.
 
-Sets are partitioned by length into bands (``nearsets.BAND``), and inverted
-lists are kept per pair of bands whose sets can be similar, each with a prefix
-as short as these lengths allow.  Within a list, pairs are pruned by length and
-by their positions before the sets are intersected; all these bounds are exact.
+Sets are partitioned by length into bands that grow by ``1 / THRESHOLD``, so that
+similar sets lie in one band or in neighbours, and inverted lists are kept per
+band, with prefixes as short as the lengths to be met there allow.  Within a
+list, pairs are pruned by length and by their positions before the sets are
+intersected; all these bounds are exact.
 
 Texts without a complete spot are lists, fragments and repeated words.  With
 ``fallback`` such a text is known by its words in order, so it shares
@@ -27,6 +28,7 @@ an empty table gives an empty result; only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -166,7 +168,8 @@ def fingerprints(
 ) -> DataFrame:
     """``doc_id, fingerprint, n_spots, group_id, group_size``: one row a document."""
     # The texts are read three times: that costs less than keeping every set.
-    every = cut(nearsets.banded_lists(entries(docs, chain, distance), threshold))
+    hot = nearsets.hot_values(docs, partial(entries, chain=chain, distance=distance))
+    every = cut(nearsets.banded_lists(entries(docs, chain, distance), threshold, hot))
     lists = cut(nearsets.long_lists(every))
     free(every)
     sets = cut(sets_of(docs, lists.select("node").distinct(), chain, distance))

@@ -270,3 +270,16 @@ def test_embeddup_in_rounds(spark, monkeypatch):
     monkeypatch.setattr(embeddup, "ROUND_TABLES", 10)
     assert {r.vec_id: r.group_id for r in embeddup.near_groups(df).collect()} == whole
     assert len(set(whole.values())) <= 60
+
+
+def test_hot_values_change_nothing(spark, monkeypatch):
+    """Values that many rows hold are ordered by an estimate and never brought together; the groups are the same."""
+    rows = planted(7)
+    d = docs(spark, [(i, t, "en", "w") for i, t in rows])
+    monkeypatch.setattr(nearsets, "HOT_NODES", 6)
+    hot = nearsets.hot_values(d, lambda x: spotsigs.entries(x, spotsigs.CHAIN, spotsigs.DISTANCE))
+    assert hot.count() > 50
+    got = {r.doc_id: r.group_id for r in spotsigs.fingerprints(d).collect()}
+    assert got == groups_by_brute_force(rows, spots, spotsigs.THRESHOLD)
+    got = {r.doc_id: r.group_id for r in minhash.near_groups(d, heavy=1).collect()}
+    assert got == groups_by_brute_force(rows, shingles, minhash.THRESHOLD)
