@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import corpus_pipeline as pipeline
 from corpusloom.llm import langid, minhash, packing, pii, queries
-from corpusloom.session import table
-from helpers import components, docs, empty, jaccard, odd
+from corpusloom.session import cut, scratch, table
+from helpers import A, LONG, components, docs, empty, jaccard, odd
 from test_dedup import shingles
 from test_layout import TOKEN, check_packs, mixed_by_brute_force, one_at_a_time
 from corpusloom.llm import mixing
@@ -58,14 +59,42 @@ def test_pipeline_brute_force(spark, sf_dir):
 
 
 def test_stages_on_odd_rows(spark, sf_dir):
-    for make in (odd, empty):
-        d = make(spark)
-        for name, stage in pipeline.STAGES:
-            d = stage(spark, d, sf_dir)
-            if name != "packing":
-                assert set(COLUMNS) <= set(d.columns)
-        n = d.count()
-        assert n == 0 if make is empty else n >= 0
+    """Null, empty, wordless, very long, repeated and equal rows, with clashing extra columns."""
+    d, kept = odd(spark), {}
+    for name, stage in pipeline.STAGES:
+        d = cut(stage(spark, d, sf_dir))
+        kept[name] = d.collect()
+        if name != "packing":
+            assert set(COLUMNS) <= set(d.columns)
+    ids = lambda name: Counter(r.doc_id for r in kept[name])
+    # what has no words has no language; rows 1, 2, 8 and the one without an id are copies, 3 is a near copy
+    assert set(ids("language")) & {4, 5, 6} == set() and ids("language")[7] == 2 and {1, 2, 3, 8, None} <= set(ids("language"))
+    assert ids("near_duplicates")[1] == 1 and ids("near_duplicates")[7] == 1 and not set(ids("near_duplicates")) & {2, 3, 8, None}
+    assert ids("personal_data") == ids("near_duplicates")
+    texts = {r.doc_id: r.text for r in kept["personal_data"]}
+    assert texts[1] == A and texts[7] == LONG  # nothing personal in them
+    tokens = lambda t: len(TOKEN.findall(t))
+    per_source = Counter()
+    for r in kept["personal_data"]:
+        per_source[r.source] += tokens(r.text)
+    blocks = sum(-(-n // mixing.BLOCK_TOKENS) for n in per_source.values())
+    mixed = sum(tokens(r.text) for r in kept["mixing"])
+    assert (blocks - len(per_source)) * mixing.BLOCK_TOKENS * 0.5 < mixed <= blocks * mixing.BLOCK_TOKENS
+    assert all(r.n_chars == len(r.text) for r in kept["mixing"])
+    assert sum(r.n_tokens for r in kept["packing"]) == mixed
+    d = empty(spark)
+    for _, stage in pipeline.STAGES:
+        d = cut(stage(spark, d, sf_dir))
+        assert d.count() == 0
+
+
+def test_stage_folders_are_removed(spark, sf_dir):
+    folder = Path(scratch(spark))
+    before = set(folder.iterdir())
+    pipeline.run(spark, sf_dir)
+    # the last stage still reads the result before it
+    named = [p for p in set(folder.iterdir()) - before if (set(COLUMNS) <= set(spark.read.parquet(str(p)).columns))]
+    assert len(named) == 1
 
 
 def test_packing_of_documents(spark, sf_dir):

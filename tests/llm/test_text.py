@@ -6,6 +6,7 @@ import math
 import os
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -198,6 +199,48 @@ def test_clean_texts_stay(text):
     assert list(pii.detect([text])) == [[]]
 
 
+def slow_findings(text):
+    """All transducers on every text, one character and one edit at a time, with a list of source ranges."""
+    chars = []
+    for i, c in enumerate(text or ""):
+        to = int(pii._FOLD[ord(c)]) if ord(c) < len(pii._FOLD) else ord(c)
+        if to != pii._GONE:
+            chars.append((chr(to), i, i + 1))
+    for edits in (pii.spelled_edits, pii.at_dot_edits):
+        for b, e, new in reversed(edits("".join(c for c, _, _ in chars))):
+            chars[b:e] = [(c, chars[b][1], chars[e - 1][2]) for c in new]
+    s = "".join(c for c, _, _ in chars)
+    found = []
+    for rank, (kind, rx) in enumerate(pii._DETECTORS):
+        for m in rx.finditer(s):
+            ok = {"iban": pii._iban_ok, "card": pii._card_ok}.get(kind, lambda x: True)
+            if ok(m[0]):
+                x = m.start() + len(m[0]) - len(m[0].lstrip())
+                found.append((x, x - m.end(), rank, kind, m.end()))
+    for m in pii._BARE.finditer(s):
+        if any(c.isalpha() for c in text[chars[m.start()][1] : chars[m.end() - 1][2]]):
+            found.append((m.start(), m.start() - m.end(), 99, "phone", m.end()))
+    out, at = [], 0
+    for x, _, _, kind, y in sorted(found):
+        if x >= at:
+            at = y
+            out.append((kind, chars[x][1], chars[y - 1][2], s[x:y]))
+    return out
+
+
+def test_query_equals_brute_force(spark, sf_dir):
+    """Every row of the table, and every row with a disguise put into its middle: no filter or shortcut loses a finding."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").collect()
+    planted = []
+    for i, r in enumerate(rows):
+        t, what = r.text or "", (DISGUISED + FURTHER)[i % len(DISGUISED + FURTHER)][0]
+        planted.append((10_000 + i, t[: len(t) // 2] + " " + what + " " + t[len(t) // 2 :], "en", "w"))
+    d = docs(spark, [(r.doc_id, r.text, "en", "w") for r in rows] + planted)
+    want = Counter((i, k, b, e, n) for i, t, *_ in [tuple(r) for r in d.collect()] for k, b, e, n in slow_findings(t))
+    got = Counter((r.doc_id, r.kind, r.begin, r.end, r.normal) for r in pii.find(d).collect())
+    assert got == want and sum(got.values()) >= len(planted)
+
+
 def test_findings_over_the_table(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     texts = {r.doc_id: r.text for r in d.collect()}
