@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions import text as X
+from corpusloom.session import grows
 
 INDEX_FILES = [f"index.{x}" for x in "py ts tsx js jsx mjs cjs".split()] + ["__init__.py"]
 EXTENSIONS = [f".{x}" for x in "py ts tsx js jsx mjs cjs json".split()]
@@ -44,7 +45,7 @@ def lookup_table(files: DataFrame, index: DataFrame) -> DataFrame:
     folders = files.selectExpr(f"explode({above}) as dir").where("dir != ''").distinct()
     tries = ", ".join(f"concat(dir, '/{x}'), '{x.rsplit('.', 1)[0]}'" for x in INDEX_FILES) + ", element_at(split(dir, '/'), -1)"
     probes = folders.selectExpr("dir", f"posexplode(array({tries})) as (pos, key)")
-    hit = probes.join(index, "key").groupBy("dir").agg(F.min_by("rel", "pos").alias("rel"))
+    hit = probes.join(grows(index), "key").groupBy("dir").agg(F.min_by("rel", "pos").alias("rel"))
     return own.unionByName(alias).unionByName(hit.select(F.lit("d").alias("kind"), F.col("dir").alias("key"), "rel"))
 
 
@@ -108,7 +109,7 @@ def candidates(
     )
     if bare_names is not None:
         names = bare_names.select(F.col("name").alias("head"), F.lit(True).alias("bare")).distinct()
-        based = based.join(names, "head", "left").withColumn("head", F.expr("case when bare is null then head end"))
+        based = based.join(grows(names), "head", "left").withColumn("head", F.expr("case when bare is null then head end"))
     every = ", ".join([probe, *(expansion(name, first[name]) for name in bases)])
     return based.selectExpr("is_py", "folder", "s", f"inline(concat({every}))")
 
@@ -130,14 +131,14 @@ def resolve(
     bare = "regexp_replace(trim(spec), '^[\"\\']+|[\"\\']+$', '')"
     folder = f"case when startswith(s, '.') then array_join({X.sql_dirs()}, '/') else '' end"
     keyed = specs.withColumns({"is_py": F.lower(X.suffix("path")) == ".py", "s": F.expr(bare)}).withColumn("folder", F.expr(folder))
-    hits = candidates(keyed.select("is_py", "folder", "s").distinct(), aliases, bare_names).join(table, ["kind", "key"])
+    hits = candidates(keyed.select("is_py", "folder", "s").distinct(), aliases, bare_names).join(grows(table), ["kind", "key"])
     best = hits.groupBy("is_py", "folder", "s").agg(
         F.expr("max(rank = 0) as known"),
         F.expr("min_by(rel, case when rank > 0 then rank end) as any_rel"),
         F.expr("min_by(rel, case when rank > 0 and not (rank >= 10000 and rank < 20000) then rank end) as rest_rel"),
     )
     chosen = best.selectExpr("is_py", "folder", "s", "case when known then rest_rel else any_rel end as rel")
-    return keyed.join(chosen, ["is_py", "folder", "s"], "left").select(*specs.columns, "rel")
+    return keyed.join(grows(chosen), ["is_py", "folder", "s"], "left").select(*specs.columns, "rel")
 
 
 def import_specs(features: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusloom.functions.rules import RuleConfig
 from corpusloom.operators import classify, extract, graph, resolve, score
-from corpusloom.session import cut
+from corpusloom.session import cut, grows
 from corpusloom.sources import snapshot
 
 
@@ -46,7 +46,7 @@ def extracted(
         stored = stored.limit(0).select("key", *(F.lit(None).cast(t).alias(n) for n, t, _ in extract.COLUMNS))
     old = snapshot.hits(keyed, stored).select("key", *columns)
     new = extract.features(snapshot.misses(keyed, stored).select("path", "src"), security, chunk_tokens)
-    now = old.unionByName(new.join(keyed.select("path", "key"), "path").select("key", *columns))
+    now = old.unionByName(new.join(grows(keyed.select("path", "key")), "path").select("key", *columns))
     folder = snapshot.store(now, cache, time.time_ns() // 1_000_000)
     return spark.read.parquet(folder).select(*columns)
 
@@ -64,7 +64,7 @@ def records(
     feats = extracted(files, security, chunk_tokens, cache, hashlib.sha256(repr(config).encode()).hexdigest()[:16])
     resolved = cut(resolve.resolve(resolve.import_specs(feats), feats.select("path"), aliases, bare_names))
     none = F.array().cast("array<string>")
-    joined = feats.join(resolve.dependencies(resolved), "path", "left").withColumns(
+    joined = feats.join(grows(resolve.dependencies(resolved)), "path", "left").withColumns(
         {c: F.coalesce(c, none) for c in ("internal", "external")}
     )
     return cut(classify.classify(joined, config)), resolved
@@ -75,10 +75,10 @@ def graded(recs: DataFrame, resolved: DataFrame) -> Analysis:
     edges = cut(resolve.edges(resolved))
     nodes = recs.select("path")
     full = (
-        recs.join(graph.degrees(nodes, edges), "path")
-        .join(graph.pagerank(nodes, edges), "path")
-        .join(graph.radii(nodes, edges), "path")
-        .join(graph.components(nodes, edges), "path", "left")
+        recs.join(grows(graph.degrees(nodes, edges)), "path")
+        .join(grows(graph.pagerank(nodes, edges)), "path")
+        .join(grows(graph.radii(nodes, edges)), "path")
+        .join(grows(graph.components(nodes, edges)), "path", "left")
         .withColumn("is_in_cycle", F.col("scc_id").isNotNull())
     )
     full = full.withColumn("impact_radius", F.when(F.col("fan_out") > 0, F.col("impact_radius")).otherwise(0))

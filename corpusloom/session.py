@@ -93,6 +93,17 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def grows(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that grows with the input: sorted and merged, never broadcast.
+
+    The planner guesses sizes from files.  Parquet packs paths many times over,
+    a few columns count as their share of the file, and ``explode`` counts for
+    nothing; so what it takes for less than the broadcast threshold may be
+    hundreds of megabytes, and all of them would pass through the driver.
+    """
+    return df.hint("merge")
+
+
 def free(*frames: DataFrame | None) -> None:
     """Remove the files of results of ``cut`` that nothing reads any more."""
     for df in frames:

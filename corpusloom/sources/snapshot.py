@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusloom.session import file_system
+from corpusloom.session import file_system, grows
 
 
 def cache_key(config_hash: str) -> Column:
@@ -16,12 +16,12 @@ def cache_key(config_hash: str) -> Column:
 
 def misses(files: DataFrame, stored: DataFrame) -> DataFrame:
     """Files without a stored record."""
-    return files.join(stored.select("key"), "key", "left_anti")
+    return files.join(grows(stored.select("key")), "key", "left_anti")
 
 
 def hits(files: DataFrame, stored: DataFrame) -> DataFrame:
     """Stored records of the given files; records of vanished files are left out."""
-    return stored.join(files.select("key"), "key", "left_semi")
+    return stored.join(grows(files.select("key")), "key", "left_semi")
 
 
 def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
