@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.session import cut, free
+from corpusloom.session import cut, free, grows
 
 LOCAL_EDGES = 2_000_000
 DAMPING, ITERATIONS, TOLERANCE = 0.85, 30, 1e-6
@@ -37,7 +37,7 @@ def two_hop(edges: DataFrame) -> DataFrame:
     Adaptive execution splits the long side.
     """
     second = edges.select(F.col("src").alias("dst"), F.col("dst").alias("far"))
-    return edges.unionByName(edges.join(second, "dst").select("src", F.col("far").alias("dst"))).distinct()
+    return edges.unionByName(edges.join(grows(second), "dst").select("src", F.col("far").alias("dst"))).distinct()
 
 
 def radii(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -81,13 +81,13 @@ def pagerank(nodes: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES)
         return _in_one_task(nodes, edges, _local_pagerank, "path string, pagerank double")
     n = nodes.count()
     outs = edges.groupBy("src").agg(F.count(F.lit(1)).alias("o"))
-    links = cut(edges.join(outs, "src"))
-    held = rank = cut(nodes.join(outs.withColumnRenamed("src", "path"), "path", "left").select("path", "o", F.lit(1.0 / n).alias("r")))
+    links = cut(edges.join(grows(outs), "src"))
+    held = rank = cut(nodes.join(grows(outs.withColumnRenamed("src", "path")), "path", "left").select("path", "o", F.lit(1.0 / n).alias("r")))
     for _ in range(ITERATIONS):
         dangling = rank.where("o is null").agg(F.sum("r")).first()[0] or 0.0
-        got = links.join(rank.select(F.col("path").alias("src"), "r"), "src").groupBy("dst").agg(F.sum(F.col("r") / F.col("o")).alias("in"))
+        got = links.join(grows(rank.select(F.col("path").alias("src"), "r")), "src").groupBy("dst").agg(F.sum(F.col("r") / F.col("o")).alias("in"))
         new = cut(
-            rank.join(got.withColumnRenamed("dst", "path"), "path", "left").select(
+            rank.join(grows(got.withColumnRenamed("dst", "path")), "path", "left").select(
                 "path",
                 "o",
                 F.col("r").alias("old"),
@@ -156,10 +156,10 @@ def _coloured_components(edges: DataFrame) -> DataFrame:
     spark, left, done = edges.sparkSession, cut(edges), None
     while True:
         while True:  # nodes without an edge in or out cannot be on a cycle
-            ends = left.select(F.col("src").alias("v")).intersect(left.select(F.col("dst").alias("v")))
+            ends = left.select(F.col("src").alias("v")).join(grows(left.select(F.col("dst").alias("v"))), "v", "left_semi").distinct()
             kept = cut(
-                left.join(ends.withColumnRenamed("v", "src"), "src", "left_semi")
-                .join(ends.withColumnRenamed("v", "dst"), "dst", "left_semi")
+                left.join(grows(ends.withColumnRenamed("v", "src")), "src", "left_semi")
+                .join(grows(ends.withColumnRenamed("v", "dst")), "dst", "left_semi")
                 .select("src", "dst")
             )
             same = kept.count() == left.count()
@@ -171,9 +171,9 @@ def _coloured_components(edges: DataFrame) -> DataFrame:
             return done if done is not None else spark.createDataFrame([], "path string, scc_id string")
         shade = colour = cut(left.select(F.col("src").alias("v")).union(left.select("dst")).distinct().withColumn("c", F.col("v")))
         while True:
-            came = left.join(colour.withColumnRenamed("v", "src"), "src").groupBy("dst").agg(F.min("c").alias("n"))
+            came = left.join(grows(colour.withColumnRenamed("v", "src")), "src").groupBy("dst").agg(F.min("c").alias("n"))
             new = cut(
-                colour.join(came.withColumnRenamed("dst", "v"), "v", "left").select(
+                colour.join(grows(came.withColumnRenamed("dst", "v")), "v", "left").select(
                     "v", F.least("c", "n").alias("c"), (F.col("n") < F.col("c")).alias("changed")
                 )
             )
@@ -183,25 +183,25 @@ def _coloured_components(edges: DataFrame) -> DataFrame:
                 break
         a = colour.select(F.col("v").alias("src"), F.col("c").alias("cs"))
         b = colour.select(F.col("v").alias("dst"), F.col("c").alias("cd"))
-        inside = cut(left.join(a, "src").join(b, "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("c")))
+        inside = cut(left.join(grows(a), "src").join(grows(b), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("c")))
         seen = cut(colour.where("v = c").select("v"))
         front = seen
         while not front.isEmpty():
             front = cut(
-                inside.join(front.withColumnRenamed("v", "dst"), "dst", "left_semi")
+                inside.join(grows(front.withColumnRenamed("v", "dst")), "dst", "left_semi")
                 .select(F.col("src").alias("v"))
                 .distinct()
-                .join(seen, "v", "left_anti")
+                .join(grows(seen), "v", "left_anti")
             )
             seen = cut(seen.union(front))
-        found = colour.join(seen, "v", "left_semi")
+        found = colour.join(grows(seen), "v", "left_semi")
         sizes = found.groupBy("c").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-        good = cut(found.join(sizes, "c").select(F.col("v").alias("path"), F.col("c").alias("scc_id")))
+        good = cut(found.join(grows(sizes), "c").select(F.col("v").alias("path"), F.col("c").alias("scc_id")))
         done = good if done is None else cut(done.union(good))
         left = cut(
             inside.select("src", "dst")
-            .join(seen.withColumnRenamed("v", "src"), "src", "left_anti")
-            .join(seen.withColumnRenamed("v", "dst"), "dst", "left_anti")
+            .join(grows(seen.withColumnRenamed("v", "src")), "src", "left_anti")
+            .join(grows(seen.withColumnRenamed("v", "dst")), "dst", "left_anti")
         )
 
 
@@ -210,14 +210,14 @@ def subgraph_nodes(edges: DataFrame, root: str, depth: int) -> DataFrame:
     both = edges.select("src", "dst").union(edges.select("dst", "src")).toDF("src", "path")
     seen = edges.sparkSession.range(1).select(F.lit(root).alias("path"))
     for _ in range(depth):
-        step = both.join(seen.withColumnRenamed("path", "src"), "src", "left_semi").select("path")
+        step = both.join(grows(seen.withColumnRenamed("path", "src")), "src", "left_semi").select("path")
         seen = seen.union(step).distinct()
     return seen
 
 
 def subgraph_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    return edges.join(nodes.withColumnRenamed("path", "src"), "src", "left_semi").join(
-        nodes.withColumnRenamed("path", "dst"), "dst", "left_semi"
+    return edges.join(grows(nodes.withColumnRenamed("path", "src")), "src", "left_semi").join(
+        grows(nodes.withColumnRenamed("path", "dst")), "dst", "left_semi"
     ).select("src", "dst")
 
 
@@ -256,8 +256,8 @@ def dependency_chain(
     front = edges.sparkSession.createDataFrame([(source, [source])], "v string, chain array<string>")
     seen = cut(front.select("v"))
     while True:
-        nxt = front.join(e, front["v"] == e["src"]).select(F.col("dst").alias("v"), F.array_append("chain", F.col("dst")).alias("chain"))
-        front = cut(nxt.join(seen, "v", "left_anti").groupBy("v").agg(F.min("chain").alias("chain")))
+        nxt = front.join(grows(e), front["v"] == e["src"]).select(F.col("dst").alias("v"), F.array_append("chain", F.col("dst")).alias("chain"))
+        front = cut(nxt.join(grows(seen), "v", "left_anti").groupBy("v").agg(F.min("chain").alias("chain")))
         hit = front.where(F.col("v") == target).select("chain").first()
         if hit:
             return list(hit.chain)

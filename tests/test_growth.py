@@ -5,11 +5,12 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import resolve
+from corpusloom.operators import graph, resolve
 from corpusloom.plans import catalogue
 
 #: The queries that failed over 1 GB by the driver's memory.
 OF_RECORDS = "domain_pick".split()
+OF_GRAPH = "hotspots".split()
 THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
 
 
@@ -47,18 +48,19 @@ def shared(eager, sf_dir):
     """Plans of what the queries share, made anew."""
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(catalogue, "_SHARED", {})
-        yield {"records": plans_of(eager, lambda: catalogue.records(eager, sf_dir))}
+        of_records = plans_of(eager, lambda: catalogue.records(eager, sf_dir))
+        yield {"records": of_records, "graph": plans_of(eager, lambda: catalogue.full(eager, sf_dir))}
 
 
-@pytest.mark.parametrize("part", ["records"])
+@pytest.mark.parametrize("part", ["records", "graph"])
 def test_shared_results_broadcast_nothing(shared, part):
     assert not broadcasts(shared[part])
 
 
-@pytest.mark.parametrize("name", OF_RECORDS)
+@pytest.mark.parametrize("name", OF_RECORDS + OF_GRAPH)
 def test_query_broadcasts_nothing(eager, sf_dir, shared, name):
     own = plans_of(eager, lambda: catalogue.QUERIES[name](eager, sf_dir).write.format("noop").mode("overwrite").save())
-    assert not broadcasts(shared["records"] + own)
+    assert not broadcasts(shared["records"] + (shared["graph"] if name in OF_GRAPH else []) + own)
 
 
 @pytest.mark.parametrize("bare", [False, True])
@@ -69,3 +71,17 @@ def test_resolve_broadcasts_nothing(eager, bare):
     made = resolve.resolve(specs, files, bare_names=names)
     assert not broadcasts(plans_of(eager, lambda: made.write.format("noop").mode("overwrite").save()))
     assert made.where("rel = path").count() == 40
+
+
+def test_graph_loops_broadcast_nothing(eager):
+    edges = eager.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "src string, dst string")
+    nodes = eager.createDataFrame([(x,) for x in "abcde"], "path string")
+    got = {}
+
+    def run():
+        got["rank"] = graph.pagerank(nodes, edges, local_edges=0).count()
+        got["scc"] = sorted(tuple(r) for r in graph.components(nodes, edges, local_edges=0).collect())
+        got["chain"] = graph.dependency_chain(edges, "a", "d", local_edges=0)
+
+    assert not broadcasts(plans_of(eager, run))
+    assert got == {"rank": 5, "scc": [("a", "a"), ("b", "a"), ("c", "a")], "chain": ["a", "b", "c", "d"]}
