@@ -10,7 +10,7 @@ from corpusloom.plans import catalogue
 
 #: The queries that failed over 1 GB by the driver's memory.
 OF_RECORDS = "domain_pick".split()
-OF_GRAPH = "by_blast hotspots".split()
+OF_GRAPH = "by_blast contexts hotspots".split()
 THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
 
 
