@@ -17,7 +17,7 @@ from corpusloom.operators import classify, extract, graph, resolve, score
 from corpusloom.plans import analysis, oracle
 from corpusloom.sources import gitlog, scan, snapshot
 from corpusloom.sources.corpus import CORPUS_SQL, corpus
-from corpusloom.session import table
+from corpusloom.session import grows, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -329,9 +329,9 @@ tgt AS (SELECT dst AS t, min(src) AS s FROM far JOIN (SELECT dst, count(*) AS c
 def dependency_chain(spark, sf_dir):
     """The path to the file with most dependents of those that some file reaches in two steps, but not in one."""
     a = full(spark, sf_dir)
-    far = graph.two_hop(a.edges).where("src != dst").join(a.edges, ["src", "dst"], "left_anti")
+    far = graph.two_hop(a.edges).where("src != dst").join(grows(a.edges), ["src", "dst"], "left_anti")
     fans = a.edges.groupBy("dst").agg(F.count(F.lit(1)).alias("c"))
-    ends = far.groupBy("dst").agg(F.min("src").alias("src")).join(fans, "dst").orderBy(F.desc("c"), "dst").limit(1).collect()
+    ends = far.groupBy("dst").agg(F.min("src").alias("src")).join(grows(fans), "dst").orderBy(F.desc("c"), "dst").limit(1).collect()
     rows = [(e.src, e.dst, "|".join(graph.dependency_chain(a.edges, e.src, e.dst))) for e in ends]
     return spark.createDataFrame(rows, "source string, target string, chain string")
 
