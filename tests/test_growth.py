@@ -9,7 +9,7 @@ from corpusloom.operators import graph, resolve
 from corpusloom.plans import catalogue
 
 #: The queries that failed over 1 GB by the driver's memory.
-OF_RECORDS = "criticality_signals domain_pick".split()
+OF_RECORDS = "criticality_signals domain_evidence domain_pick".split()
 OF_GRAPH = "by_blast contexts dependency_chain dependents hotspots".split()
 THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
 
