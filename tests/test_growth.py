@@ -10,7 +10,8 @@ from corpusloom.plans import catalogue
 
 #: The queries that failed over 1 GB by the driver's memory.
 OF_RECORDS = "criticality_signals domain_evidence domain_pick domain_top10".split()
-OF_GRAPH = "by_blast contexts dependency_chain dependents endpoint_set hotspots hotspots_domain_page".split()
+OF_GRAPH = """by_blast contexts dependency_chain dependents endpoint_set hotspots hotspots_domain_page
+    hotspots_warned_glob""".split()
 THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
 
 
