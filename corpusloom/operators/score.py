@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions import rules, text as X
+from corpusloom.session import grows
 
 CYCLE_WARNING = "File is part of a dependency cycle"
 ORPHAN_WARNING = "Orphan file - no file imports it and it's not an entrypoint"
@@ -146,7 +147,7 @@ def health(files: DataFrame, edges: DataFrame) -> DataFrame:
 def mutual_edges(edges: DataFrame) -> DataFrame:
     """Pairs of files that import each other, ``src < dst``."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return edges.where("src < dst").join(back, ["src", "dst"], "left_semi")
+    return edges.where("src < dst").join(grows(back), ["src", "dst"], "left_semi")
 
 
 def endpoint_set(edges: DataFrame) -> DataFrame:
