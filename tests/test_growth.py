@@ -11,7 +11,7 @@ from corpusloom.plans import catalogue
 #: The queries that failed over 1 GB by the driver's memory.
 OF_RECORDS = """criticality_signals domain_evidence domain_pick domain_top10 imports_raw module_summary modules""".split()
 OF_GRAPH = """by_blast contexts dependency_chain dependents endpoint_set hotspots hotspots_domain_page
-    hotspots_warned_glob markdown_hotspots mutual_edges""".split()
+    hotspots_warned_glob markdown_hotspots mutual_edges orphan_warnings""".split()
 THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
 
 
