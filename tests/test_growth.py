@@ -9,7 +9,8 @@ from corpusloom.operators import graph, resolve
 from corpusloom.plans import catalogue
 
 #: The queries that failed over 1 GB by the driver's memory.
-OF_RECORDS = """criticality_signals domain_evidence domain_pick domain_top10 imports_raw module_summary modules""".split()
+OF_RECORDS = """criticality_signals domain_evidence domain_pick domain_top10 imports_raw module_summary modules
+    package_usage""".split()
 OF_GRAPH = """by_blast contexts dependency_chain dependents endpoint_set hotspots hotspots_domain_page
     hotspots_warned_glob markdown_hotspots mutual_edges orphan_warnings orphans""".split()
 THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
