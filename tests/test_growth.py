@@ -13,7 +13,7 @@ OF_RECORDS = """criticality_signals domain_evidence domain_pick domain_top10 imp
     package_usage""".split()
 OF_GRAPH = """by_blast contexts dependency_chain dependents endpoint_set hotspots hotspots_domain_page
     hotspots_warned_glob markdown_hotspots mutual_edges orphan_warnings orphans pagerank project_stats
-    refactor_candidates""".split()
+    refactor_candidates reverse_edges""".split()
 THRESHOLD = "spark.sql.autoBroadcastJoinThreshold"
 
 
