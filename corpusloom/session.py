@@ -67,10 +67,20 @@ def scratch(spark: SparkSession) -> str:
         fs, path = file_system(spark, folder)
         fs.mkdirs(path)
         fs.deleteOnExit(path)
-        _SCRATCH[app] = folder
+        _SCRATCH[app] = plain(spark, folder)
     return _SCRATCH[app]
 
 
+def plain(spark: SparkSession, folder: str) -> str:
+    """``folder`` without scheme and host where these are the default file system's, else as it is.
+
+    Spark names the checkpoint folder by a URI, ``file:`` on one machine.
+    """
+    fs, path = file_system(spark, folder)
+    default, _ = file_system(spark, "/")
+    return path.toUri().getPath() if fs.getUri().equals(default.getUri()) else folder
+
+
 def file_system(spark: SparkSession, folder: str) -> tuple:
     """The Hadoop file system of a path or URI, and the path in it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)

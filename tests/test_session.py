@@ -34,6 +34,12 @@ def test_freed_files_are_gone_and_others_stay(spark):
     assert session.cut(b.limit(0)).count() == 0
 
 
+def test_folders_are_plain_paths_on_the_default_file_system_only(spark):
+    folder = session.scratch(spark)
+    assert Path(folder).is_dir() and session.plain(spark, f"file:{folder}") == session.plain(spark, folder) == folder
+    assert session.plain(spark, "hdfs://127.0.0.1:9/a/b") == "hdfs://127.0.0.1:9/a/b"
+
+
 def test_a_cluster_must_name_a_shared_folder(spark, monkeypatch):
     class Elsewhere:
         master = "spark://host:7077"
